@@ -224,21 +224,24 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
     return df.withColumn(text, run(F.col(ids)))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256 of each text: encoded, then decoded from those ids."""
+def round_trip(df: DataFrame, path: str, text: str = "text", packed: str | None = None) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256 of each text: encoded, then decoded from those ids.
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    packed: a column for the ids, as little-endian unsigned 32-bit integers."""
+    out = ["n_tokens", "ids_sha256", "decoded_sha256", *([packed] if packed else [])]
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (f", {packed} binary" if packed else ""))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
         for s in batches:
-            packed = [t.encode(x or "") for x in s]
-            yield pd.DataFrame({
-                "n_tokens": np.array([len(x) // 4 for x in packed], np.int64),
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in packed],
-                "decoded_sha256": [hashlib.sha256(t.decode(x).encode()).hexdigest() for x in packed],
-            })
-
-    out = ("n_tokens", "ids_sha256", "decoded_sha256")
+            ids = [t.encode(x or "") for x in s]
+            done = {
+                "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids],
+            }
+            yield pd.DataFrame(done | ({packed: ids} if packed else {}))
+
     kept = [c for c in df.columns if c not in out]
     return df.select(*kept, run(F.col(text)).alias("_bpe")).select(*kept, *(F.col(f"_bpe.{c}") for c in out))
 

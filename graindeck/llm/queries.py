@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_merkle_fixity": importlib.import_module(f"{__package__}.fixity").ORACLE}
