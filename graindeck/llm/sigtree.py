@@ -1,12 +1,12 @@
 """N-gram Jaccard join by signature trees.
 
 A document's set holds the 64-bit hashes of its distinct WIDTH-word shingles; equal sets are one class. Two classes link at
-100 * intersection >= SIMILAR * union. The join is a forest: a tree for each shingle that several classes have in their
-prefix (the least common shingles of a set, as many as any partner must share one of; commonness is read from counts of all
-shingles in 2^SKETCH cells). In a tree, classes are leaves with a bitmap of their set; a node holds the OR of its
-children's bitmaps, the range of their sizes and their component, if it is one. Two trees' nodes (or one tree's with
-itself) are traversed together and a pair of nodes is left as soon as sizes, components or the largest overlap that the
-bitmaps allow rule every pair of leaves out. What is left is verified on the sets.
+100 * intersection >= SIMILAR * union. Classes that may link share a shingle of their prefixes (the least common shingles of
+a set, as many as any partner must share one of; commonness is read from counts of all shingles in 2^SKETCH cells). The
+join is a forest: each shingle has a leader among its classes, and the classes of a leader's shingles are a tree's leaves,
+with a bitmap of their set. A node holds the OR of its children's bitmaps, the range of their sizes and their component, if
+it is one. A tree's nodes are traversed together, and a pair of nodes is left as soon as sizes, components or the largest
+overlap that the bitmaps allow rule every pair of leaves out. Leaves that remain are verified on their sets.
 
 Since only components are asked for, links within one needn't be found: before the trees, each class is verified against
 the one leader that it shares most shingles with, a few times over, and trees whose classes have become one component are
@@ -125,19 +125,18 @@ def commonness(cells: DataFrame) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(count, 1) / max(1.0, count.mean())))).astype(np.uint8)
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    """The set's bits, in the power of two of bits next to four for each shingle, at least 64."""
-    bits = max(64, 1 << int(4 * len(grams) - 1).bit_length())
+def bitmap(grams: np.ndarray, bits: int) -> int:
+    """The set's bits in a bitmap of so many, a power of two."""
     out = np.zeros(bits, bool)
-    out[(grams & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+    out[grams & (bits - 1)] = True
+    return int.from_bytes(np.packbits(out, bitorder="little").tobytes(), "little")
 
 
 class Node:
-    __slots__ = ("bits", "spare", "least", "most", "part", "kids", "leaf", "width")
+    __slots__ = ("bits", "spare", "least", "most", "part", "kids", "leaf")
 
-    def __init__(self, kids: list[Node] | None, leaf=None, bits: int = 0, width: int = 0, n: int = 0, part=None):
-        self.kids, self.leaf, self.width = kids, leaf, width
+    def __init__(self, kids: list[Node] | None, leaf=None, bits: int = 0, n: int = 0, part=None):
+        self.kids, self.leaf = kids, leaf
         if kids is None:
             self.bits, self.spare, self.least, self.most, self.part = bits, n - bits.bit_count(), n, n, part
         else:
@@ -178,47 +177,46 @@ def traverse(a: Node, b: Node, similar: int = SIMILAR) -> Iterator[tuple]:
             todo += [(a, y) for y in b.kids]
 
 
-def folded(raw: bytes, width: int) -> int:
-    """A bitmap in fewer bits: its halves ORed."""
-    x, bits = int.from_bytes(raw, "little"), 8 * len(raw)
-    while bits > width:
-        bits //= 2
-        x = (x & ((1 << bits) - 1)) | (x >> bits)
-    return x
-
-
-def joined_unit(rows: list[tuple]) -> Iterator[tuple]:
-    """Candidate pairs of one unit. rows: (side, band is the unit's, fp, n, part, bits); sides 0 and 1 are blocks, 2 is one block for both."""
-    width = min(8 * len(r[5]) for r in rows)
-    sides: dict[tuple, list] = {}
-    for r in sorted(rows, key=lambda r: (r[4], r[3], r[2])):
-        sides.setdefault((r[0], r[1]), []).append(Node(None, r[2], folded(r[5], width), width, r[3], r[4]))
-    trees = {k: tree(v) for k, v in sides.items()}
-    for (s, upper), a in trees.items():
-        for (t, also), b in trees.items():
-            # each pair in the unit of its larger band, once
-            if not (upper or also) or (s, upper) > (t, also) or s == t != 2:
-                continue
-            yield from traverse(a, b)
+def joined_unit(rows: list[tuple], similar: int = SIMILAR) -> Iterator[tuple]:
+    """Links that join components of one unit. rows: (side, fp, part, sorted grams); sides 0 and 1 are blocks, 2 one block alone."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y] if y in root else y
+            x = root[x]
+        return x
+
+    bits = max(64, 1 << int(4 * max(len(r[3]) for r in rows) - 1).bit_length())
+    sides: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r[2], len(r[3]), r[1])):
+        sides.setdefault(r[0], []).append(Node(None, r[1:], bitmap(r[3], bits), n=len(r[3]), part=r[2]))
+    trees = [tree(v) for _, v in sorted(sides.items())]
+    for (a, p, x), (b, q, y) in traverse(trees[0], trees[-1], similar):
+        i, j = find(p), find(q)
+        if i != j:
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= similar * (len(x) + len(y) - common):
+                root[max(i, j)] = min(i, j)
+                yield a, b
 
 
 def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs from rows sorted by unit; a unit has at most two blocks."""
+    """Links from rows sorted by unit; a unit has at most two blocks."""
     key, rows = None, []
 
-    def pairs(rows):
-        got = {(min(p), max(p)) for p in joined_unit(rows)} if len(rows) > 1 else ()
-        return pd.DataFrame(list(got), columns=["a", "b"], dtype="int64")
+    def links(rows):
+        return pd.DataFrame(list(joined_unit(rows)) if len(rows) > 1 else [], columns=["a", "b"], dtype="int64")
 
     for b in batches:
-        for k, *r in zip(zip(b["token"], b["band"], b["i"], b["j"]), b["side"], b["upper"], b["fp"], b["n"], b["part"], b["bits"]):
+        for k, *r in zip(zip(b["lead"], b["i"], b["j"]), b["side"], b["fp"], b["part"], b["grams"]):
             if k != key:
                 if rows:
-                    yield pairs(rows)
+                    yield links(rows)
                 key, rows = k, []
             rows.append(tuple(r))
     if rows:
-        yield pairs(rows)
+        yield links(rows)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -273,11 +271,11 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", similar: int =
                 if want not in seen and len(g) and fingerprint(g) == want:
                     if len(seen) < 1 << 20:
                         seen.add(want)
-                    out.append((want, g.view(np.int64), bitmap(g)))
-            yield pd.DataFrame(out, columns=["fp", "grams", "bits"])
+                    out.append((want, np.sort(g.view(np.int64))))
+            yield pd.DataFrame(out, columns=["fp", "grams"])
 
-    sets = written(source.join(wanted, "id").mapInPandas(sets_of, "fp long, grams array<long>, bits binary"), "sets")
-    links, parts, tried = [], None, []
+    sets = written(source.join(wanted, "id").mapInPandas(sets_of, "fp long, grams array<long>"), "sets")
+    links, parts = [], None
     open_rows = shared
     for r in range(ROUNDS):
         # the leader of a shingle's classes differs from round to round; a class meets the one it shares most with
@@ -286,24 +284,21 @@ def link(df: DataFrame, text: str = "text", key: str = "doc_id", similar: int =
         led = rows.withColumn("lead", first).where((F.col("lead.part") != F.col("part")) & (100 * F.least("n", F.col("lead.n")) >= similar * F.greatest("n", F.col("lead.n"))))
         most = led.groupBy("fp", F.col("lead.fp").alias("lead")).agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
         pairs = written(most.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct(), "pairs")
-        tried.append(pairs)
         links.append(written(verified(pairs, sets, similar), "links"))
         parts = components(union(links))
         rows = with_parts(open_rows, parts)
         rows = rows.withColumn("differ", F.min("part").over(by_token) < F.max("part").over(by_token)).where("differ")
         last, open_rows = open_rows, written(rows.select("token", "fp", "n"), "prefixes")
         dropped(last)
-    # shingles of the same classes give the same tree
-    same = open_rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("x")).groupBy("k", "x").agg(F.min("token").alias("token")).select("token")
-    rows = with_parts(open_rows.join(same, "token"), parts).withColumn("own", F.floor(F.log("n") / F.log(F.lit(100 / similar))).cast("int"))
-    rows = rows.join(sets.select("fp", "bits"), "fp").withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("upper", F.col("own") == F.col("band"))
-    bands = Window.partitionBy("token", "band")
-    rows = rows.where("token is not null").withColumn("cut", F.floor((F.row_number().over(bands.orderBy("part", "n", "fp")) - 1) / BLOCK).cast("int")).withColumn("cuts", F.floor((F.count(F.lit(1)).over(bands) - 1) / BLOCK).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "cuts"))).select("token", "band", "upper", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), F.when(F.col("cuts") < 0, 0).when(F.col("cut") == F.col("other"), 2).when(F.col("cut") < F.col("other"), 0).otherwise(1).alias("side"), "fp", "n", "part", "bits")
-    found = rows.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j").mapInPandas(units, "a long, b long").distinct()
-    for pairs in tried:
-        found = found.join(pairs, ["a", "b"], "left_anti")
-    links.append(written(verified(found, sets, similar), "links"))
+    # the shingles of one leader give one tree: a class is in as many as its shingles have leaders
+    rows = with_parts(open_rows, parts).withColumn("lead", F.min_by("fp", F.xxhash64("fp")).over(by_token)).select("lead", "fp", "n", "part").distinct()
+    by_lead = Window.partitionBy("lead")
+    rows = rows.withColumn("differ", F.min("part").over(by_lead) < F.max("part").over(by_lead)).where("differ")
+    rows = rows.withColumn("cut", F.floor((F.row_number().over(by_lead.orderBy("n", "fp")) - 1) / BLOCK).cast("int")).withColumn("cuts", F.floor((F.count(F.lit(1)).over(by_lead) - 1) / BLOCK).cast("int"))
+    side = F.when(F.col("cut") == F.col("other"), 2).when(F.col("cut") < F.col("other"), 0).otherwise(1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "cuts"))).select("lead", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), side.alias("side"), "fp", "part")
+    rows = rows.join(sets, "fp").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    links.append(written(rows.mapInPandas(units, "a long, b long"), "links"))
     parts = components(union(links))
     # a class's component is named by its smallest document
     named = with_parts(classes, parts)
