@@ -21,13 +21,14 @@ document every base count is 0 (base_score is that of the formula with N = V = 0
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fold_of, table, written
+from .common import dropped, fold_of, table, written
 
 FREQUENT, SUFFIXES = 96, 32
 CLASSES = FREQUENT + SUFFIXES
@@ -42,6 +43,14 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def packed(x: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def unpacked(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
+
+
 def suffix_class(word: bytes) -> int:
     tail = word[-2:]
     return (tail[0] * 31 + tail[-1] * 7) % SUFFIXES if word != END else 0
@@ -63,7 +72,7 @@ def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, _, train, ids in docs:
             if train:
                 count += np.bincount(ids, minlength=len(words))
-        doc_rows = pd.DataFrame({"chunk": chunk, "id": [d[0] for d in docs], "held": [d[1] for d in docs], "train": [d[2] for d in docs], "ids": [d[3].astype("<u4").tobytes() for d in docs]})
+        doc_rows = pd.DataFrame({"chunk": chunk, "id": [d[0] for d in docs], "held": [d[1] for d in docs], "train": [d[2] for d in docs], "ids": [packed(d[3], "<u4") for d in docs]})
         word_rows = pd.DataFrame({"chunk": chunk, "hash": [np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)], "count": [count], "suffix": [np.array([suffix_class(w) for w in words], np.int8).tobytes()]})
         out = pd.concat([doc_rows, word_rows], ignore_index=True)
         out["id"] = out["id"].astype("Int64")
@@ -166,12 +175,19 @@ def score_documents(df: DataFrame, text: str = "text", key: str = "doc_id", held
 
     side = CLASSES + 1
 
-    def counts(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        _, word_class = in_order(a)
-        cells = [trigram_cells(class_ids(np.frombuffer(x, "<u4"), word_class)) for x, t in zip(d["ids"], d["train"]) if t]
+    def looked_up(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        """Each document's token counts and classes, and the chunk's trigrams of training text."""
+        count, word_class = in_order(a)
+        rows, cells = [], []
+        for key, held, train, x in zip(d["id"], d["held"], d["train"], d["ids"]):
+            ids = unpacked(x, "<u4")
+            rows.append((key, held, packed(word_class[ids], "u1"), packed(count[ids], "<u8"), None, None, None))
+            if train:
+                cells.append(trigram_cells(class_ids(ids, word_class)))
         cell, number = np.unique(np.concatenate(cells) if cells else np.zeros(0, np.int64), return_counts=True)
         u = cell // (side * side)
-        return pd.DataFrame([{"u": int(i), "cell": cell[u == i] % (side * side), "n": number[u == i]} for i in np.unique(u)], columns=["u", "cell", "n"])
+        rows += [(None, None, None, None, int(i), cell[u == i] % (side * side), number[u == i]) for i in np.unique(u)]
+        return pd.DataFrame(rows, columns=["id", "held", "classes", "counts", "u", "cell", "n"]).astype({"id": "Int64", "u": "Int64"})
 
     def added(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(side * side, np.int64)
@@ -180,7 +196,9 @@ def score_documents(df: DataFrame, text: str = "text", key: str = "doc_id", held
         at = np.flatnonzero(total)
         return pd.DataFrame([{"u": int(part["u"].iloc[0]), "cell": at, "n": total[at]}])
 
-    grams = docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(counts, "u int, cell array<long>, n array<long>")
+    merged = written(docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(looked_up, "id long, held boolean, classes binary, counts binary, u int, cell array<long>, n array<long>"), "looked-up")
+    dropped(read, counted)
+    grams = merged.where("u is not null").select("u", "cell", "n")
     # a chunk's counts are at most side^2 numbers for each u, so they are added in two steps, first by a few chunks
     grams = grams.withColumn("_part", F.spark_partition_id() % 16).groupBy("u", "_part").applyInPandas(added, "u int, cell array<long>, n array<long>")
     tri = np.zeros((side, side * side), np.int64)
@@ -191,25 +209,24 @@ def score_documents(df: DataFrame, text: str = "text", key: str = "doc_id", held
     uv, vk = tri.sum(2), tri.sum(0)
     sent = spark.sparkContext.broadcast((tri.astype(np.float32), uv.astype(np.float32), vk.astype(np.float32), vk.sum(1).astype(np.float32), words, weight))
 
-    def scored(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        count, word_class = in_order(a)
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tri, uv, vk, v_, words, weight = sent.value
-        base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        share = count / np.maximum(words[word_class], 1)
-        out = []
-        for x in d["ids"]:
-            ids = np.frombuffer(x, "<u4")
-            k = class_ids(ids, word_class)
-            u, w, k, c, e = k[:-2], k[1:-1], k[2:], count[ids], share[ids]
-            of = uv[u, w]
-            mix = weight[np.where(of > 0, np.minimum(np.log2(np.maximum(of, 1)).astype(int), BUCKETS - 1), 0)]
-            # an order whose context was never seen leaves its weight to the uniform one
-            spare = mix[:, 0] + np.where(of > 0, 0, mix[:, 3]) + np.where(v_[w] > 0, 0, mix[:, 2])
-            p = spare / (v + 1) + mix[:, 1] * c / max(1, n) + mix[:, 2] * vk[w, k] / np.maximum(v_[w], 1) * e + mix[:, 3] * tri[u, w, k] / np.maximum(of, 1) * e
-            out.append((len(ids), int((c > 0).sum()), float(base[ids].sum()), float(np.log10(p).sum())))
-        return pd.DataFrame({key: d["id"], "held_out": d["held"], "n_tokens": [o[0] for o in out], "n_known": [o[1] for o in out], "train_tokens": n, "base_score": [o[2] for o in out], "score": [o[3] if n else 0.0 for o in out]})
-
-    return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(scored, f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for d in batches:
+            out = []
+            for classes, counts in zip(d["classes"], d["counts"]):
+                c = unpacked(counts, "<u8").astype(np.int64)
+                k = np.concatenate(([START, START], unpacked(classes, "u1").astype(np.int64)))
+                u, w, k = k[:-2], k[1:-1], k[2:]
+                base, e, of = np.log10((c + 0.5) / (n + 0.5 * (v + 1))), c / np.maximum(words[k], 1), uv[u, w]
+                mix = weight[np.where(of > 0, np.minimum(np.log2(np.maximum(of, 1)).astype(int), BUCKETS - 1), 0)]
+                # an order whose context was never seen leaves its weight to the uniform one
+                spare = mix[:, 0] + np.where(of > 0, 0, mix[:, 3]) + np.where(v_[w] > 0, 0, mix[:, 2])
+                p = spare / (v + 1) + mix[:, 1] * c / max(1, n) + mix[:, 2] * vk[w, k] / np.maximum(v_[w], 1) * e + mix[:, 3] * tri[u, w, k] / np.maximum(of, 1) * e
+                out.append((len(c), int((c > 0).sum()), float(base.sum()), float(np.log10(p).sum()) if n else 0.0))
+            yield pd.DataFrame({key: d["id"], "held_out": d["held"], "n_tokens": [o[0] for o in out], "n_known": [o[1] for o in out], "train_tokens": n, "base_score": [o[2] for o in out], "score": [o[3] for o in out]})
+
+    seen = merged.where("classes is not null").select("id", "held", "classes", "counts")
+    return seen.mapInPandas(scored, f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
