@@ -5,7 +5,10 @@ has a Jaccard similarity of at least SIMILAR / 100. Words are ordered by rarity,
 cells; a word's key is its cell's rank and 49 bits of its hash, so sorting keys sorts by rarity. Lines of equal sets are one
 class, named in order of first appearance. Two classes can only be similar if they share a key of their prefixes; pairs that
 do are kept if their lengths, the positions of that key and two words of parity bits (which no more positions can differ in
-than the sets differ in words) allow the similarity, and are verified on the lines themselves.
+than the sets differ in words) allow the similarity, and are verified on the lines themselves. One similar earlier line
+decides a line, so each class first meets the earliest class of each of its keys, ROUNDS times over (then the
+next one that isn't decided), and only classes that none of those decides meet all earlier classes of their keys: a group of near copies costs a few pairs for
+each member, and no decision changes.
 
 Nulls: a null text has no lines and stays null; a null id comes after all others; lines without a word stay. Repeated rows
 of one id and text are one document: their lines stay or go alike. An empty table gives an empty result. Other columns pass
@@ -14,12 +17,13 @@ through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE, dropped, let, table, words, written
 
 SIMILAR = 80
 CELLS = 20
+ROUNDS = 2
 ORDER = ("missing", "id", "doc", "line")
 
 
@@ -58,10 +62,10 @@ def prefix_length(n: Column, similar: int) -> Column:
     return n - F.ceil(n * similar / 100) + 1
 
 
-def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
-    """One row for each line with a word: its order columns and its words."""
+def lines_of(df: DataFrame, text: str, key: str, split: bool = True) -> DataFrame:
+    """One row for each line with a word: its order columns and its words, or, unsplit, the line itself (s)."""
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("missing"), F.col(key).cast("long").alias("id"), F.xxhash64(F.lit(3), text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
-    return docs.where(F.col("s").rlike(f"[^{SPACE}]")).select(*ORDER, words(F.col("s")).alias("w"))
+    return docs.where(F.col("s").rlike(f"[^{SPACE}]")).select(*ORDER, words(F.col("s")).alias("w") if split else "s")
 
 
 def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
@@ -87,7 +91,29 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     # sets of under 4 words are similar only if they are equal
     least = -(-similar // (100 - similar))
     rows = classes.where(F.col("n") >= least).select("cid", "n", "p", "q", F.posexplode("prefix").alias("i", "key"))
-    a, b = rows.alias("a"), rows.alias("b")
+    # a class that is similar to the leader of one of its words is decided; the others meet all earlier ones at the end
+    waiting = heads = rows
+    sets, near = None, []
+    for last in (*[False] * ROUNDS, True):
+        met = rows if last else heads.groupBy("key").agg(F.min(F.struct("cid", "n", "p", "q", "i")).alias("x")).select("key", "x.*")
+        pairs = written(candidates(met, waiting, similar), "pairs")
+        more = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        more = word_sets(df, classes, more if sets is None else more.join(sets, "cid", "left_anti"), text, key)
+        sets = more if sets is None else sets.unionByName(more)
+        near.append(written(similar_pairs(pairs, sets, similar), "near"))
+        waiting = waiting.join(near[-1], "cid", "left_anti")
+        if not last:
+            # a word's next leader is the next class that isn't decided
+            heads = heads.join(met.select("key", F.col("cid").alias("led")), "key").where(F.col("cid") > F.col("led")).drop("led").join(near[-1], "cid", "left_anti")
+    gone = near[0]
+    for x in near[1:]:
+        gone = gone.unionByName(x)
+    return equal.unionByName(classes.select("cid", "o.*").join(gone, "cid").select(*ORDER))
+
+
+def candidates(earlier: DataFrame, later: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of classes, a before b, that share a prefix key and may be similar by lengths, positions and parities."""
+    a, b = earlier.alias("a"), later.alias("b")
     need = F.ceil(similar * (F.col("a.n") + F.col("b.n")) / (100 + similar))
     differ = F.col("a.n") + F.col("b.n") - 2 * need
     fits = (
@@ -98,14 +124,11 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
         & (F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) <= differ)
         & (F.bit_count(F.col("a.q").bitwiseXOR(F.col("b.q"))) <= differ)
     )
-    pairs = written(a.join(b, fits).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct(), "pairs")
-    near = verified(df, classes, pairs, text, key, similar)
-    return equal.unionByName(near)
+    return a.join(b, fits).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
 
 
-def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key: str, similar: int) -> DataFrame:
-    """The first lines of classes that are similar to an earlier class, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+def word_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """The word sets (cid, w) of the wanted classes, read from the lines where they first appear."""
     places = written(classes.select("cid", "o.*").join(wanted, "cid"), "places")
     # only documents that hold such a line are read again: a bitmap of a fixed size leaves out most others
     bits = 1 << 20
@@ -115,13 +138,17 @@ def verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key
     mask = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("m", F.lit(0).cast("long")).alias("m")))), lambda x: x.m).alias("mask"))
     doc = F.xxhash64(F.lit(3), text)
     some = df.select(text, key).where(F.get(mask.scalar(), F.shiftright(spot(doc), 6)).bitwiseAND(bit(spot(doc))) != 0)
-    found = lines_of(some, text, key)
+    found = lines_of(some, text, key, split=False)
     same = [found["id"].eqNullSafe(places["id"]), found["doc"] == places["doc"], found["line"] == places["line"]]
-    sets = written(found.join(places, same[0] & same[1] & same[2]).select("cid", F.transform(F.array_distinct("w"), lambda w: F.xxhash64(w)).alias("w")).dropDuplicates(["cid"]), "sets")
+    lines = found.join(places, same[0] & same[1] & same[2]).select("cid", "s").dropDuplicates(["cid"])
+    return written(lines.select("cid", F.transform(F.array_distinct(words(F.col("s"))), lambda w: F.xxhash64(w)).alias("w")), "sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The later class (cid) of each pair whose whole sets are similar."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("w").alias("wb")), "b")
     common = both.select("b", F.size(F.array_intersect("wa", "wb")).alias("c"), (F.size("wa") + F.size("wb")).alias("t"))
-    later = common.where(100 * F.col("c") >= similar * (F.col("t") - F.col("c"))).select(F.col("b").alias("cid")).distinct()
-    return places.join(later, "cid").select(*ORDER)
+    return common.where(100 * F.col("c") >= similar * (F.col("t") - F.col("c"))).select(F.col("b").alias("cid")).distinct()
 
 
 def without_lines(text: Column, gone: Column) -> Column:
