@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space that separates words, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
-#: The same characters, for trim().
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Runs of characters other than white space; no text has none."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
+    """Runs of characters other than white space; no text has none. Splitting at one character needs no regular expression."""
+    return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " "), " "), "")
 
 
 def let(value: Column, body) -> Column:

@@ -23,7 +23,7 @@ from .common import SPACE, dropped, let, table, words, written
 
 SIMILAR = 80
 CELLS = 20
-ROUNDS = 2
+ROUNDS = 1
 ORDER = ("missing", "id", "doc", "line")
 
 
@@ -42,11 +42,10 @@ def ranks(df: DataFrame, text: str) -> DataFrame:
 def keys(tokens: Column, rank: Column) -> Column:
     """The sorted distinct keys of an array of words: rank, then hash bits that tell words apart."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def key(h: Column) -> Column:
         return F.shiftleft(F.get(rank, F.shiftrightunsigned(h, 64 - CELLS).cast("int")).cast("long"), 49).bitwiseOR(F.shiftrightunsigned(F.shiftleft(h, 5), 15))
 
-    return F.sort_array(F.array_distinct(F.transform(tokens, key)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(tokens, lambda w: F.xxhash64(w)), key)))
 
 
 def bit(i: Column) -> Column:
@@ -95,7 +94,7 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     waiting = heads = rows
     sets, near = None, []
     for last in (*[False] * ROUNDS, True):
-        met = rows if last else heads.groupBy("key").agg(F.min(F.struct("cid", "n", "p", "q", "i")).alias("x")).select("key", "x.*")
+        met = rows if last else heads.groupBy("key").agg(*[F.min_by(c, "cid").alias(c) for c in ("cid", "n", "p", "q", "i")])
         pairs = written(candidates(met, waiting, similar), "pairs")
         more = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         more = word_sets(df, classes, more if sets is None else more.join(sets, "cid", "left_anti"), text, key)
