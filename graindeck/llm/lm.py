@@ -1,19 +1,20 @@
-"""LM scoring by deleted interpolation.
+"""LM scoring by deleted interpolation over word n-grams.
 
 Tokens are lower-cased words (A-Z only) and one end for each document. The model mixes maximum-likelihood estimates of
 three orders and a uniform one:
 
-    P(w | u, v) = a3 C(u,v,k)/C(u,v) e(w) + a2 C(v,k)/C(v) e(w) + a1 c(w)/N + a0 / (V+1)
+    P(w | u, v) = a3 C(u,v,w)/C(u,v) + a2 C(v,w)/C(v) + a1 c(w)/N + a0 / (V+1)
 
-where u, v and k are the classes of the two tokens before and of w, C counts classes in training text, e(w) = c(w)/C(k) and
-a0..a3 depend on the bucket of log2 C(u,v). The FREQUENT most frequent tokens are classes of their own; other words share
-a class with those of the same last two bytes' hash. The weights are learned by expectation-maximisation on held-out
-counts: each trigram's count is taken as held out once, with one occurrence deleted from every count it is in. All V+1
-tokens, an unseen one included, have probabilities that add up to 1.
+where u and v are the two tokens before w, with two starts before a document's first token, and all counts are of whole
+training text: no n-gram is left out. a0..a3 depend on the bucket of log2 C(u,v), or of log2 C(v) where u, v was never seen.
+They are learned by expectation-maximisation on held-out counts: each training token is taken as held out once, with its
+occurrence deleted from every count it is in. All V+1 tokens, an unseen one included, have probabilities that add up to 1.
 
-Texts are read once: a chunk of documents becomes token numbers and its list of distinct words, so the counts of a whole
-corpus meet by word once for each chunk, not for each occurrence, and go back to the chunks. Only class counts, of a fixed
-size, reach the driver.
+Texts are read once: a chunk of documents becomes token numbers and, for each order, its distinct n-grams with their counts
+in training text. An n-gram goes by a number of 64 bits (words) or 48 bits (pairs and triples: among n distinct ones, one
+shares its number with another at a chance of n / 2^48). Numbers meet by range, packed as differences, once for each chunk
+and not for each occurrence, and the counts of the whole corpus go back to the chunks. C(u,v) and C(v) are the counts at the
+token before. Only cells of estimates, rounded to a quarter of a bit, reach the driver.
 
 Nulls: a null text counts as the empty one, of one token (the end). Repeated rows count each time. With no training
 document every base count is 0 (base_score is that of the formula with N = V = 0) and score is 0. Other columns aren't read.
@@ -26,207 +27,243 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from .common import dropped, fold_of, table, written
+from .common import dropped, fold_of, input_bytes, table, written
 
-FREQUENT, SUFFIXES = 96, 32
-CLASSES = FREQUENT + SUFFIXES
-START = CLASSES  # before a document's first token
+#: Bits of the numbers of words, pairs and triples.
+BITS = {1: 64, 2: 48, 3: 48}
 #: Tokens of a chunk, about.
 CHUNK = 1 << 20
+#: Ranges of numbers: at least, at most, and input bytes for each.
+RANGES, MOST_RANGES, RANGE_BYTES = 256, 1 << 14, 32 << 20
+START = np.uint64(0x9E3779B97F4A7C15)  # before a document's first token
 END = b"\n"  # no word holds white space
 BUCKETS, ROUNDS = 24, 25
+#: Tokens whose estimates are in memory at once.
+SLICE = 1 << 16
+STEPS = 256  # of estimates, in quarters of a bit; 0 is the estimate 0
+KINDS = "chunk long, kind int, part long, a binary, b binary, c binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def packed(x: np.ndarray, kind: str) -> bytes:
-    return zlib.compress(x.astype(kind).tobytes(), 1)
+def packed(x: np.ndarray, raw: int = 0) -> bytes:
+    """Non-negative numbers as planes of bytes; the lowest raw ones stay as they are, the others are compressed."""
+    size = np.min_scalar_type(x.max() if len(x) else 0).itemsize
+    planes = np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T)
+    raw = min(raw, size)
+    return bytes([size, raw]) + len(x).to_bytes(8, "little") + planes[:raw].tobytes() + pa.compress(planes[raw:].tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+def unpacked(x: bytes) -> np.ndarray:
+    size, raw, n = x[0], x[1], int.from_bytes(x[2:10], "little")
+    at = 10 + raw * n
+    rest = pa.decompress(x[at:], decompressed_size=(size - raw) * n, codec="zstd", asbytes=True) if size > raw and n else b""
+    planes = np.frombuffer(x[10:at] + rest, np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.uint64)
 
 
-def suffix_class(word: bytes) -> int:
-    tail = word[-2:]
-    return (tail[0] * 31 + tail[-1] * 7) % SUFFIXES if word != END else 0
+def packed_keys(x: np.ndarray) -> bytes:
+    """Ascending numbers by their differences, whose lowest bytes are as good as random."""
+    return packed(np.diff(x, prepend=np.uint64(0)), 3)
 
 
-def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (id, held, train) with token numbers, and rows of the chunk's words with their counts in training text."""
+def unpacked_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x), dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """x itself, mixed in place."""
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(by)
+    return x
+
+
+def grams(words: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """The number of the pair (k = 2) or triple (k = 3) that ends at each token. first: where documents begin."""
+    v = np.concatenate(([START], words[:-1]))
+    v[first] = START
+    if k == 3:
+        u = np.concatenate(([START], v[:-1]))
+        u[first] = START
+        u *= np.uint64(0xA0761D6478BD642F)
+        u += v
+        v = mixed(u)
+    v *= np.uint64(0xE7037ED1A0B428DB)
+    v += words
+    return mixed(v) >> np.uint64(64 - BITS[k])
+
+
+def starts(size: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+
+
+def chunked(batches: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
+    """For each chunk a row of kind 0: its tokens (b) by place of their numbers, and documents (c); and rows of kinds 1 to 3, by range:
+    the numbers of its words, pairs and triples (a) and how often they are in training text (b)."""
     import xxhash
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 24
     number: dict[bytes, int] = {}
     docs: list[tuple] = []
-    size = 0
+    at = 0
 
     def flushed() -> pd.DataFrame:
-        words = list(number)
-        count = np.zeros(len(words), np.int64)
-        for _, _, train, ids in docs:
-            if train:
-                count += np.bincount(ids, minlength=len(words))
-        doc_rows = pd.DataFrame({"chunk": chunk, "id": [d[0] for d in docs], "held": [d[1] for d in docs], "train": [d[2] for d in docs], "ids": [packed(d[3], "<u4") for d in docs]})
-        word_rows = pd.DataFrame({"chunk": chunk, "hash": [np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)], "count": [count], "suffix": [np.array([suffix_class(w) for w in words], np.int8).tobytes()]})
-        out = pd.concat([doc_rows, word_rows], ignore_index=True)
-        out["id"] = out["id"].astype("Int64")
-        out["held"], out["train"] = out["held"].astype("boolean"), out["train"].astype("boolean")
-        return out[["chunk", "id", "held", "train", "ids", "hash", "count", "suffix"]].astype({c: object for c in ("ids", "hash", "count", "suffix")}).where(lambda x: x.notna(), None)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, keys = place[np.concatenate([d[3] for d in docs])], hashes[order]
+        size = np.array([len(d[3]) for d in docs], np.int64)
+        train = np.repeat(np.array([not d[2] for d in docs]), size)
+        doc = np.array([(d[0], d[1], d[2], n) for d, n in zip(docs, size)], DOC)
+        rows = [(chunk, 0, chunk, None, packed(ids), zlib.compress(doc.tobytes(), 1))]
+        for k in BITS:
+            x, where = (keys, ids) if k == 1 else np.unique(grams(keys[ids], starts(size), k), return_inverse=True)
+            count = np.bincount(where, train, len(x))
+            part = (x >> np.uint64(BITS[k] - ranges.bit_length() + 1)).astype(np.int64)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(x)]))
+            rows += [(chunk, k, int(part[i]), packed_keys(x[i:j]), packed(count[i:j].astype(np.uint64)), None) for i, j in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame(rows, columns=["chunk", "kind", "part", "a", "b", "c"])
 
     for b in batches:
         for key, held, text in zip(b["id"], b["held"], b["text"]):
-            ids = np.array([number.setdefault(w, len(number)) for w in (*tokens(text), END)], np.int64)
-            docs.append((None if pd.isna(key) else int(key), bool(held), not held, ids))
-            size += len(ids)
-            if size >= CHUNK:
+            ids = np.array([number.setdefault(w, len(number)) for w in (*tokens(text), END)], np.uint32)
+            docs.append((0 if pd.isna(key) else int(key), pd.isna(key), bool(held), ids))
+            at += len(ids)
+            if at >= CHUNK:
                 yield flushed()
-                chunk, number, docs, size = chunk + 1, {}, [], 0
+                chunk, number, docs, at = chunk + 1, {}, [], 0
     if docs:
         yield flushed()
 
 
-def class_ids(ids: np.ndarray, word_class: np.ndarray) -> np.ndarray:
-    """The classes of a document's tokens, with two starts before them."""
-    return np.concatenate(([START, START], word_class[ids]))
-
-
-def trigram_cells(k: np.ndarray) -> np.ndarray:
-    side = CLASSES + 1
-    return (k[:-2] * side + k[1:-1]) * side + k[2:]
-
-
-def interpolate(tri: np.ndarray, levels: dict[int, np.ndarray], n: int, v: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (buckets x 4 orders) by expectation-maximisation on counts with one occurrence deleted.
-
-    levels: for each class, rows of its words' counts by size: sum of c, of c squared, and the number of words. In the model
-    a word depends on the context by its class alone, so a cell's occurrences are spread over its class's rows.
-    """
-    side = CLASSES + 1
-    u, w, k = (x.astype(np.int64) for x in np.nonzero(tri))
-    count = tri[u, w, k].astype(float)
-    uv, vk = tri.sum(2), tri.sum(0)
-    second = (vk[w, k] - 1) / np.maximum(vk.sum(1)[w] - 1, 1)
-    third = (count - 1) / np.maximum(uv[u, w] - 1, 1)
-    bucket = np.minimum(np.log2(uv[u, w]).astype(int), BUCKETS - 1)
-    # cells whose estimates agree to a quarter of a bit count as one
-    step = lambda f: np.where(f > 0, np.round(4 * np.log2(np.maximum(f, 1e-30))), -999).astype(np.int64)
-    _, group = np.unique(np.stack([bucket, k, step(second), step(third)]), axis=1, return_inverse=True)
-    group = group.ravel()
-    size = np.bincount(group, count)
-    mean = lambda f: np.bincount(group, f * count) / size
-    g_bucket, g_class, second, third = mean(bucket).round().astype(int), mean(k).round().astype(int), mean(second), mean(third)
-    parts, weights, where = [], [], []
-    for c in np.unique(g_class):
-        rows, level = np.flatnonzero(g_class == c), levels.get(int(c), np.zeros((0, 3)))
-        total = max(1.0, level[:, 0].sum())
-        for words, square, _ in level:
-            typical = square / words - 1
-            e = typical / max(1.0, total - 1)
-            parts.append(np.stack([np.full(len(rows), 1.0 / (v + 1)), np.full(len(rows), typical / max(1, n - 1)), second[rows] * e, third[rows] * e], axis=1))
-            weights.append(size[rows] * words / total)
-            where.append(g_bucket[rows])
-    parts, held, bucket = np.concatenate(parts), np.concatenate(weights), np.concatenate(where)
-    weight = np.full((BUCKETS, 4), 0.25)
+#: A document: its key, whether that is null, whether it is held out, and its tokens.
+DOC = np.dtype([("id", "<i8"), ("null", "?"), ("held", "?"), ("size", "<i8")])
+
+
+def documents(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), DOC)
+
+
+def counted(d: pd.DataFrame) -> pd.DataFrame:
+    """Each chunk's rows of one kind and range with the counts of all chunks in b; words keep a. n, v: words and distinct ones of
+    training text; of kind 0, whose rows pass, n is its documents."""
+    kind = int(d["kind"].iloc[0])
+    if not kind:
+        return d.assign(n=[int((~documents(x)["held"]).sum()) for x in d["c"]], v=0)
+    keys, counts = [unpacked_keys(x) for x in d["a"]], np.concatenate([unpacked(x) for x in d["b"]])
+    cuts = np.cumsum([len(x) for x in keys])[:-1]
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    total = np.bincount(where, counts, len(distinct)).astype(np.uint64)
+    out = d.assign(a=d["a"] if kind == 1 else None, b=[packed(x) for x in np.split(total[where], cuts)], n=0, v=0)
+    if kind == 1:
+        out.loc[out.index[0], ["n", "v"]] = int(total.sum()), int((total > 0).sum())
+    return out
+
+
+def contexts(c1: np.ndarray, c2: np.ndarray, first: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """C(v) and C(u,v) of each token: the counts at the token before, or the number of training documents."""
+    of1, of2 = (np.concatenate(([0], c[:-1])) for c in (c1, c2))
+    of1[first] = of2[first] = docs
+    return of1, of2
+
+
+def level(c: np.ndarray) -> np.ndarray:
+    return np.where(c > 0, np.minimum(1 + np.log2(np.maximum(c, 1)).astype(int), BUCKETS - 1), 0)
+
+
+def buckets(of1: np.ndarray, of2: np.ndarray) -> np.ndarray:
+    return np.where(of2 > 0, level(of2), BUCKETS + level(of1))
+
+
+def estimates(c1, c2, c3, of1, of2, n: int) -> tuple[np.ndarray, ...]:
+    return c1 / max(1, n), c2 / np.maximum(of1, 1), c3 / np.maximum(of2, 1)
+
+
+def interpolate(cells: np.ndarray, held: np.ndarray, v: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (buckets x 4 orders) by expectation-maximisation on cells of estimates with one occurrence deleted."""
+    value = lambda s: np.where(s > 0, 2.0 ** ((s - STEPS + 1) / 4), 0.0)
+    parts = np.stack([np.full(len(cells), 1.0 / (v + 1)), *(value(cells // STEPS**i % STEPS) for i in range(3))], axis=1)
+    bucket = cells // STEPS**3
+    weight = np.full((2 * BUCKETS, 4), 0.25)
     for _ in range(rounds):
         each = weight[bucket] * parts
         each *= (held / each.sum(1))[:, None]
-        total = np.stack([np.bincount(bucket, each[:, i], BUCKETS) for i in range(4)], axis=1)
+        total = np.stack([np.bincount(bucket, each[:, i], 2 * BUCKETS) for i in range(4)], axis=1)
         seen = total.sum(1) > 0
         weight[seen] = total[seen] / total[seen].sum(1, keepdims=True)
     weight = np.maximum(weight, 1e-6)
     return weight / weight.sum(1, keepdims=True)
 
 
-def score_documents(df: DataFrame, text: str = "text", key: str = "doc_id", held: int = 1, frequent: int = FREQUENT) -> DataFrame:
+def looked_up(d: pd.DataFrame, n: int, docs_in_training: int) -> pd.DataFrame:
+    """A chunk's documents (c) with the counts of their tokens, pairs and triples (a), and its cells of estimates (cell, number)."""
+    head = d[d["kind"] == 0].iloc[0]
+    doc = documents(head["c"])
+    parts = {k: d[d["kind"] == k].sort_values("part") for k in BITS}
+    keys, ids = np.concatenate([unpacked_keys(x) for x in parts[1]["a"]]), unpacked(head["b"]).astype(np.int64)
+    answer = {k: np.concatenate([unpacked(x) for x in g["b"]]).astype(np.int64) for k, g in parts.items()}
+    first = starts(doc["size"])
+    c = {1: answer[1][ids]}
+    for k in (2, 3):
+        c[k] = answer[k][np.unique(grams(keys[ids], first, k), return_inverse=True)[1]]
+    of1, of2 = contexts(c[1], c[2], first, docs_in_training)
+    train = np.repeat(~doc["held"], doc["size"])
+    cells = []
+    for i in range(0, len(ids), SLICE):
+        c1, c2, c3, o1, o2 = (x[i : i + SLICE][train[i : i + SLICE]] - 1 for x in (c[1], c[2], c[3], of1, of2))
+        steps = [np.where(f > 0, np.maximum(STEPS - 1 + np.round(4 * np.log2(np.maximum(f, 1e-30))), 1), 0).astype(np.int64) for f in estimates(c1, c2, c3, o1, o2, n - 1)]
+        cells.append(((buckets(o1, o2) * STEPS + steps[2]) * STEPS + steps[1]) * STEPS + steps[0])
+    cell, number = np.unique(np.concatenate(cells), return_counts=True)
+    return pd.DataFrame({"docs": [head["c"]], "c1": [packed(c[1])], "c2": [packed(c[2])], "c3": [packed(c[3])], "cell": [cell], "number": [number]})
+
+
+def score_documents(df: DataFrame, text: str = "text", key: str = "doc_id", held: int = 1) -> DataFrame:
     """A row for each document: its key, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), (fold_of(F.col(key)) == held).alias("held"), F.col(text).alias("text"))
-    schema = "chunk long, id long, held boolean, train boolean, ids binary, hash array<long>, count array<long>, suffix binary"
-    read = written(rows.mapInPandas(chunked, schema), "chunks")
-    listed = read.where("hash is not null").select("chunk", F.posexplode(F.arrays_zip("hash", "count")).alias("at", "w"), "suffix")
-    listed = listed.select("chunk", "at", F.col("w.hash").alias("hash"), F.col("w.count").alias("n"), F.conv(F.hex(F.substring("suffix", F.col("at") + 1, F.lit(1))), 16, 10).cast("byte").alias("suffix"))
-    counted = written(listed.select("chunk", "at", "suffix", "hash", F.sum("n").over(Window.partitionBy("hash")).alias("c"), (F.row_number().over(Window.partitionBy("hash").orderBy("chunk")) == 1).alias("first")), "counts")
-    known = counted.where("first and c > 0")
-    totals = known.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = totals["n"] or 0, totals["v"]
-    top = {r["hash"]: (i, r["c"]) for i, r in enumerate(known.orderBy(F.desc("c"), "hash").limit(frequent).collect())}
-    own = F.create_map(*[F.lit(x) for h, (i, _) in top.items() for x in (h, i)]) if top else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    cls = F.coalesce(own[F.col("hash")] if top else F.lit(None).cast("int"), FREQUENT + F.col("suffix").cast("int"))
-    answer = counted.select("chunk", "at", "c", cls.cast("short").alias("class"))
-    docs = read.where("ids is not null").select("chunk", "id", "held", "train", "ids")
-    # for each class and size of count, the sums of its words' counts and of their squares, and the words
-    levels: dict[int, list] = {}
-    by = F.when(F.col("c") <= 4, F.col("c")).otherwise(3 + F.floor(2 * F.log2("c")))
-    for r in known.select(cls.alias("k"), by.alias("l"), F.col("c").cast("double").alias("c")).groupBy("k", "l").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("w")).collect():
-        levels.setdefault(r["k"], []).append((r["s"], r["q"], r["w"]))
-    levels = {k: np.array(x) for k, x in levels.items()}
-    words = np.array([levels[k][:, 0].sum() if k in levels else 0.0 for k in range(CLASSES + 1)])
-
-    def in_order(a: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        count, word_class = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        count[a["at"]], word_class[a["at"]] = a["c"], a["class"]
-        return count, word_class
-
-    side = CLASSES + 1
-
-    def looked_up(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        """Each document's token counts and classes, and the chunk's trigrams of training text."""
-        count, word_class = in_order(a)
-        rows, cells = [], []
-        for key, held, train, x in zip(d["id"], d["held"], d["train"], d["ids"]):
-            ids = unpacked(x, "<u4")
-            rows.append((key, held, packed(word_class[ids], "u1"), packed(count[ids], "<u8"), None, None, None))
-            if train:
-                cells.append(trigram_cells(class_ids(ids, word_class)))
-        cell, number = np.unique(np.concatenate(cells) if cells else np.zeros(0, np.int64), return_counts=True)
-        u = cell // (side * side)
-        rows += [(None, None, None, None, int(i), cell[u == i] % (side * side), number[u == i]) for i in np.unique(u)]
-        return pd.DataFrame(rows, columns=["id", "held", "classes", "counts", "u", "cell", "n"]).astype({"id": "Int64", "u": "Int64"})
-
-    def added(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(side * side, np.int64)
-        for cell, number in zip(part["cell"], part["n"]):
-            total[cell] += number
-        at = np.flatnonzero(total)
-        return pd.DataFrame([{"u": int(part["u"].iloc[0]), "cell": at, "n": total[at]}])
-
-    merged = written(docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(looked_up, "id long, held boolean, classes binary, counts binary, u int, cell array<long>, n array<long>"), "looked-up")
-    dropped(read, counted)
-    grams = merged.where("u is not null").select("u", "cell", "n")
-    # a chunk's counts are at most side^2 numbers for each u, so they are added in two steps, first by a few chunks
-    grams = grams.withColumn("_part", F.spark_partition_id() % 16).groupBy("u", "_part").applyInPandas(added, "u int, cell array<long>, n array<long>")
-    tri = np.zeros((side, side * side), np.int64)
-    for r in grams.groupBy("u").applyInPandas(added, "u int, cell array<long>, n array<long>").toLocalIterator():
-        tri[r["u"], r["cell"]] = r["n"]
-    tri = tri.reshape(side, side, side)
-    weight = interpolate(tri, levels, n, v) if n else np.full((BUCKETS, 4), 0.25)
-    uv, vk = tri.sum(2), tri.sum(0)
-    sent = spark.sparkContext.broadcast((tri.astype(np.float32), uv.astype(np.float32), vk.astype(np.float32), vk.sum(1).astype(np.float32), words, weight))
+    ranges = RANGES
+    while ranges < MOST_RANGES and ranges * RANGE_BYTES < input_bytes(df):
+        ranges *= 2
+    # documents go with the numbers through one shuffle, so that texts are read once and numbers aren't written besides
+    asked = rows.mapInPandas(lambda batches: chunked(batches, ranges), KINDS)
+    answered = written(asked.groupBy("kind", "part").applyInPandas(counted, KINDS + ", n long, v long"), "counts")
+    totals = {r["kind"]: (r["n"], r["v"]) for r in answered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    training, (n, v) = totals.get(0, (0, 0))[0], totals.get(1, (0, 0))
+    found = answered.select("chunk", "kind", "part", "a", "b", "c").groupBy("chunk").applyInPandas(lambda d: looked_up(d, n, training), "docs binary, c1 binary, c2 binary, c3 binary, cell array<long>, number array<long>")
+    found = written(found, "looked-up")
+    dropped(answered)
+    cells = found.select(F.explode(F.arrays_zip("cell", "number")).alias("x")).groupBy("x.cell").agg(F.sum("x.number").alias("number")).toPandas()
+    weight = interpolate(cells["cell"].to_numpy(np.int64), cells["number"].to_numpy(float), v)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tri, uv, vk, v_, words, weight = sent.value
-        for d in batches:
-            out = []
-            for classes, counts in zip(d["classes"], d["counts"]):
-                c = unpacked(counts, "<u8").astype(np.int64)
-                k = np.concatenate(([START, START], unpacked(classes, "u1").astype(np.int64)))
-                u, w, k = k[:-2], k[1:-1], k[2:]
-                base, e, of = np.log10((c + 0.5) / (n + 0.5 * (v + 1))), c / np.maximum(words[k], 1), uv[u, w]
-                mix = weight[np.where(of > 0, np.minimum(np.log2(np.maximum(of, 1)).astype(int), BUCKETS - 1), 0)]
+        for d in (b.iloc[[i]] for b in batches for i in range(len(b))):
+            doc = documents(d["docs"].iloc[0])
+            first = starts(doc["size"])
+            c1, c2, c3 = (unpacked(d[c].iloc[0]).astype(np.int64) for c in ("c1", "c2", "c3"))
+            of1, of2 = contexts(c1, c2, first, training)
+            base, score = np.zeros(len(c1)), np.zeros(len(c1))
+            for at in (slice(i, i + SLICE) for i in range(0, len(c1), SLICE)):
+                mix = weight[buckets(of1[at], of2[at])]
+                e1, e2, e3 = estimates(c1[at], c2[at], c3[at], of1[at], of2[at], n)
                 # an order whose context was never seen leaves its weight to the uniform one
-                spare = mix[:, 0] + np.where(of > 0, 0, mix[:, 3]) + np.where(v_[w] > 0, 0, mix[:, 2])
-                p = spare / (v + 1) + mix[:, 1] * c / max(1, n) + mix[:, 2] * vk[w, k] / np.maximum(v_[w], 1) * e + mix[:, 3] * tri[u, w, k] / np.maximum(of, 1) * e
-                out.append((len(c), int((c > 0).sum()), float(base.sum()), float(np.log10(p).sum()) if n else 0.0))
-            yield pd.DataFrame({key: d["id"], "held_out": d["held"], "n_tokens": [o[0] for o in out], "n_known": [o[1] for o in out], "train_tokens": n, "base_score": [o[2] for o in out], "score": [o[3] for o in out]})
-
-    seen = merged.where("classes is not null").select("id", "held", "classes", "counts")
-    return seen.mapInPandas(scored, f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                spare = mix[:, 0] + np.where(of1[at] > 0, 0, mix[:, 2]) + np.where(of2[at] > 0, 0, mix[:, 3])
+                base[at] = np.log10((c1[at] + 0.5) / (n + 0.5 * (v + 1)))
+                if n:
+                    score[at] = np.log10(spare / (v + 1) + mix[:, 1] * e1 + mix[:, 2] * e2 + mix[:, 3] * e3)
+            ids = pd.array(doc["id"], "Int64")
+            ids[doc["null"]] = pd.NA
+            yield pd.DataFrame({key: ids, "held_out": doc["held"], "n_tokens": doc["size"], "n_known": np.add.reduceat((c1 > 0).astype(np.int64), first), "train_tokens": n, "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(score, first)})
+
+    return found.select("docs", "c1", "c2", "c3").mapInPandas(scored, f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -185,6 +185,49 @@ def test_lm(spark, docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_lm_counts_words_not_classes(spark):
+    """The score of every document is the formula's, with the counts of whole words by brute force."""
+    r = np.random.default_rng(7)
+    passage = " ".join(f"rare{i}x" for i in range(40))  # words that end alike, in one order in some texts and shuffled in others
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.4, 60) % 50) for _ in range(60)]
+    texts += [passage if i % 2 else " ".join(r.permutation(passage.split())) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))}
+    seqs = {i: [*t.encode().lower().split(), b"\n"] for i, t in enumerate(texts)}
+    padded = {i: [None, None, *s] for i, s in seqs.items()}
+    count = {k: Counter(tuple(p[j - k + 1 : j + 1]) for i, p in padded.items() if not held[i] for j in range(2, len(p))) for k in (1, 2, 3)}
+    of = {k: Counter(tuple(p[j - k + 1 : j]) for i, p in padded.items() if not held[i] for j in range(2, len(p))) for k in (2, 3)}
+    n, v = sum(count[1].values()), len(count[1])
+
+    def position(p, j):
+        g = {k: tuple(p[j - k + 1 : j + 1]) for k in (1, 2, 3)}
+        return [count[k][g[k]] for k in (1, 2, 3)] + [of[k][g[k][:-1]] for k in (2, 3)]
+
+    cells = Counter()
+    for i, p in padded.items():
+        for j in range(2, len(p)):
+            if not held[i]:
+                cells[tuple(x - 1 for x in position(p, j))] += 1
+    c1, c2, c3, of1, of2 = (np.array(x) for x in zip(*cells))
+    step = lambda f: np.where(f > 0, lm.STEPS - 1 + np.round(4 * np.log2(np.maximum(f, 1e-30))), 0).astype(np.int64)
+    e1, e2, e3 = (step(f) for f in lm.estimates(c1, c2, c3, of1, of2, n - 1))
+    weight = lm.interpolate(((lm.buckets(of1, of2) * lm.STEPS + e3) * lm.STEPS + e2) * lm.STEPS + e1, np.array(list(cells.values()), float), v)
+
+    def score(i):
+        total = 0.0
+        for j in range(2, len(padded[i])):
+            c1, c2, c3, of1, of2 = position(padded[i], j)
+            m = weight[int(lm.buckets(np.array([of1]), np.array([of2]))[0])]
+            total += math.log10((m[0] + (0 if of1 else m[2]) + (0 if of2 else m[3])) / (v + 1) + m[1] * c1 / n + m[2] * c2 / max(1, of1) + m[3] * c3 / max(1, of2))
+        return total
+
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(rows).collect()}
+    assert got.keys() == seqs.keys() and all(abs(got[i] - score(i)) < 1e-6 for i in got)
+    # a passage that training text repeats word for word is likelier than its words in another order
+    odd, even = ([got[i] for i in range(60, 100) if i % 2 == k and held[i]] for k in (1, 0))
+    assert odd and even and min(odd) > max(even) + 20
+
+
 def test_rules(spark, docs, none):
     got = rules.judge(docs).collect()
     assert len(got) == len(ROWS) and all(not r["kept"] for r in got if r["base_failed"])
