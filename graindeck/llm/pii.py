@@ -37,9 +37,9 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9](?:[ ._-]?[0-9]){12,18}+",
     "phone": r"(?<![0-9])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
-#: What a text must hold for a pattern to be tried.
+#: What a text must hold for a pattern to be tried: each is implied by its pattern.
 BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-LOOSE_NEEDS = {"email": r"@|[(\[](?:dot|\.)[)\]]| dot ", "ip": r"[0-9](?: ?[(\[]| dot )", "card": r"[0-9][ ._-]?[0-9][ ._-]?[0-9][ ._-]?[0-9]", "phone": r"[0-9][ .-][0-9]{4}"}
+LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]| at ", "ip": r"[0-9](?: ?[(\[]| dot )", "card": r"[0-9][ ._-]?[0-9][ ._-]?[0-9][ ._-]?[0-9]", "phone": r"[0-9][ .-][0-9]{4}"}
 AROUND = 24
 EXAMPLES, TREES, DEPTH, RATE, PRECISION = 3000, 24, 3, 0.3, 0.99
 SPAN = "array<struct<kind:int,start:int,end:int,m:string>>"
@@ -83,6 +83,11 @@ def matches(text: Column, pattern: str, kind: int, needs: str) -> Column:
     return F.when(text.rlike(needs), F.aggregate(zipped, start, step)["out"]).otherwise(none)
 
 
+def worth(text: Column) -> Column:
+    """Whether a text can hold a match of any pattern; most can't, and then none is tried."""
+    return text.rlike(rf"[0-9]|{LOOSE_NEEDS['email']}")
+
+
 def base_spans(text: Column) -> Column:
     return F.concat(*(F.filter(matches(text, BASE[k], i, BASE_NEEDS[k]), tested(k)) for i, k in enumerate(KINDS)))
 
@@ -112,7 +117,7 @@ def features(c: Column) -> dict[str, Column]:
         "bracketed": one(c.m.rlike(r"[(\[](?:at|dot|\.)[)\]]")),
         "spelled": one(c.m.rlike(r" (?:at|dot) ")),
         "at_sign": one(c.m.contains("@")),
-        "domain": one(c.m.rlike(r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|example)$")),
+        "domain": one(c.m.rlike(r"(?i)(?<![A-Za-z0-9-])(?:com|org|net|edu|gov|info|io|de|fr|es|uk|example)$")),
         "small_parts": one(~c.m.rlike(r"[3-9][0-9]{2}|2[6-9][0-9]|25[6-9]")),
         "issuer": one(d.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)")),
         "grouped": one(c.m.rlike(r"^[0-9]{4}(?:[ ._-][0-9]{4,6}){2,4}|^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$")),
@@ -279,10 +284,8 @@ def find(df: DataFrame, text: str = "text", model: dict | None = None) -> DataFr
     kept = [c for c in df.columns if c not in ("base", "added")]
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.expr(f"cast(array() as {SPAN})")
-    # most texts have nothing to look at; then no pattern is tried
-    worth = t.rlike(r"[0-9@]|[(\[]at[)\]]| dot ")
-    based = df.select(*kept, F.when(worth, base_spans(t)).otherwise(none).alias("base"))
-    return based.withColumn("added", F.when(worth, let(F.col("base"), lambda b: added_spans(t, b, model))).otherwise(none))
+    based = df.select(*kept, F.when(worth(t), base_spans(t)).otherwise(none).alias("base"))
+    return based.withColumn("added", F.when(worth(t), let(F.col("base"), lambda b: added_spans(t, b, model))).otherwise(none))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:

@@ -146,6 +146,18 @@ def test_pii(spark, docs, none):
     assert pii.find(none).count() == 0
 
 
+def test_pii_gates_let_every_loose_email_through(spark):
+    texts = [f"bob{at}example{dot}com" for at in ("@", " @ ", "(at)", "[at]", " [at] ", " at ") for dot in (".", "(dot)", "[dot]", " [dot] ", "[.]", "(.)", " dot ")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    none = F.expr(f"cast(array() as {pii.SPAN})")
+    got = rows.select("t", pii.candidates(F.col("t"), none).alias("c")).collect()
+    assert [[c["m"] for c in r["c"]] for r in got] == [[r["t"]] for r in got]
+    # a model that takes every candidate: what find() passes to it
+    always = {k: ([1.0], 0.0) for k in range(len(pii.KINDS))}
+    found = pii.find(rows, "t", always).collect()
+    assert {r["t"]: [s["m"] for s in [*r["base"], *r["added"]]] for r in found} == {t: [t] for t in texts}
+
+
 @pytest.mark.parametrize("text", ["a@b.c_d@e.f x@y @a.b a.@b.c.d-", "1.2.3.4.5.6.7.8 256.1.1.1 01.02.03.004", "+1 23 +123456789012345678 +12345678)(", "4111 1111-1111 1111 5 41111111111111111111", "9" * 5000])
 def test_pii_base_is_the_plain_patterns(spark, text):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
