@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graindeck.llm import bpe, linededup, mixing, quality, sigtree
-from graindeck.llm.common import scratch_root, table
+from graindeck.llm.common import scratch_root, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by near-equal shingle sets, the one with the smallest id; rows without an id stay."""
-    linked = sigtree.link(docs.select("doc_id", "text"))
-    stay = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # rows of one id share a component; the least of them stays
-    named = docs.join(stay, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group of rows that are linked by near-equal shingle sets: of the smallest id (none comes last), then text hash.
+
+    Rows are linked one by one, whatever their ids; those without a word are in no group and stay."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    linked = sigtree.link(keyed.select("_row", "text"), key="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    ranked = keyed.select("_row", order.alias("o")).join(linked, "_row")
+    stay = ranked.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o._row").alias("_row"))
+    return keyed.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
