@@ -101,6 +101,36 @@ def thinking_length(p, c, a, t):
     return F.when(F.coalesce(th, F.lit("")) == "", 0.0).otherwise(F.least(F.lit(1.0), let(F.size(tok(th)), length_factor)))
 
 
+# What takes from the thinking score or adds to it. The Q&A type has a shorter list of phrases and no round bullet.
+PHRASES = ("i think", "i believe", "maybe", "i'm not sure", "confused", "stuck", "i will now", "i'll start by", "let's see")
+R1_PHRASES = (*PHRASES, "frustrated", "wait, wait", "hmm, perhaps", "or wait", "to be completely honest", "basically what happens", "long story short", "at the end of the day")
+SPECIAL = ("<|endoftext|>", "<|im_start|>", "<think><think>", "<|im_end|>")
+
+
+def thinking_score(c: Column, phrases: tuple[str, ...], bullets: str) -> Column:
+    """1, less 0.1 for each bad phrase (0.4 at most) and 0.3 for each special token, 0.1 more for a list, times the length factor."""
+
+    def of(th: Column) -> Column:
+        bad = reduce(lambda e, p: e + yes(th.rlike(rf"(?iU)\b{p}\b")), phrases, F.lit(0.0))
+        special = reduce(lambda e, s: e + yes(th.contains(s)), SPECIAL, F.lit(0.0))
+        listed = yes(th.rlike(rf"(?U)\n\s*[{bullets}]|\n\s*\d+\.\s+"))
+        score = (1.0 - F.least(F.lit(0.4), 0.1 * bad) - 0.3 * special + 0.1 * listed) * let(F.size(tok(th)), length_factor)
+        return F.when(th == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+    return let(F.coalesce(thinking(c), F.lit("")), of)
+
+
+@register("thinking_quality", tags=("thinking",))
+def thinking_quality(p, c, a, t):
+    return thinking_score(c, R1_PHRASES, "-*\u2022")
+
+
+@register("qna_thinking", tags=("thinking",))
+def qna_thinking(p, c, a, t):
+    """The thinking part of general_qna."""
+    return thinking_score(c, PHRASES, "-*")
+
+
 @register("qna_correctness", tags=("accuracy",))
 def qna_correctness(p, c, a, t):
     """Equal 1, equal boxes 1, containing 0.8, contained 0.6 of the ratio, word overlap above a half 0.7 of it."""
@@ -128,7 +158,7 @@ def qna_format(p, c, a, t):
 @register("general_qna", tags=("composite",))
 def general_qna(p, c, a, t):
     """Correctness 0.4, format 0.3, thinking 0.3; nothing for under 5 characters."""
-    total = 0.4 * qna_correctness(p, c, a, t) + 0.3 * qna_format(p, c, a, t) + 0.3 * thinking_length(p, c, a, t)
+    total = 0.4 * qna_correctness(p, c, a, t) + 0.3 * qna_format(p, c, a, t) + 0.3 * qna_thinking(p, c, a, t)
     return F.when(F.length(strip(c)) < 5, 0.0).otherwise(total)
 
 

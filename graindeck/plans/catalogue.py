@@ -128,6 +128,11 @@ def score_thinking_length(spark, sf_dir):
     return per_rollout(spark, sf_dir, "thinking_length")
 
 
+@query("score_thinking_quality", None)
+def score_thinking_quality(spark, sf_dir):
+    return per_rollout(spark, sf_dir, "thinking_quality")
+
+
 @query("score_general_qna", None)
 def score_general_qna(spark, sf_dir):
     return per_rollout(spark, sf_dir, "qna_correctness", "qna_format", "general_qna")

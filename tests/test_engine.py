@@ -35,6 +35,16 @@ def test_scorers_are_bounded_and_take_empty_texts(spark):
     assert registry.score(df, ["accuracy"]).where("completion like '%boxed%'").first()["accuracy"] == 1.0
 
 
+def test_thinking_counts_phrases_tokens_and_lists(spark):
+    plain = " ".join(f"w{i}" for i in range(25))  # a length that leaves the score as it is
+    cases = [(plain, 1.0, 1.0), (plain + " Maybe", 0.9, 0.9), (plain + " maybe I think I believe stuck confused", 0.66, 0.66), (plain + " <|im_end|>", 0.7, 0.7), (plain + " maybe\n- a", 1.0, 1.0), (plain + " maybe\n\u2022 a", 1.0, 0.9), (plain + " frustrated", 0.9, 1.0), ("maybe", 0.27, 0.27), (plain + " <|im_start|> <|im_end|> <|endoftext|> maybe", 0.0, 0.0), ("", 0.0, 0.0)]
+    df = spark.createDataFrame([(i, f"<think>{t}</think> yes it is") for i, (t, _, _) in enumerate(cases)], "i int, completion string").withColumns({"prompt": F.lit("p"), "answer": F.lit("no"), "type": F.lit("math")})
+    args = [F.col(x) for x in ("prompt", "completion", "answer", "type")]
+    got = df.select(scoring.thinking_quality(*args).alias("r1"), scoring.qna_thinking(*args).alias("qna"), (scoring.general_qna(*args) - 0.4 * scoring.qna_correctness(*args) - 0.3 * scoring.qna_format(*args)).alias("part"), "i").orderBy("i").collect()
+    for r, (_, r1, qna) in zip(got, cases):
+        assert abs(r["r1"] - r1) < 1e-9 and abs(r["qna"] - qna) < 1e-9 and abs(r["part"] - 0.3 * qna) < 1e-9, (r, r1, qna)
+
+
 def test_registry_names_what_it_has():
     assert set(registry.defaults()) <= set(registry.names())
     with pytest.raises(KeyError, match="accuracy"):
