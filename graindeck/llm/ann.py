@@ -7,13 +7,15 @@ probable part and sends a query to its several most probable ones, as many as a
 RECALL; the candidates there are ranked anew by their exact inner products. The sample bounds only the fit: every vector is
 indexed. Parts of over BLOCK rows are dealt to several tasks, and queries likewise, so no task holds a whole large part.
 
-Vectors that are null or zero, hold null or non-finite components, or are not of the commonest dimension take no part.
+Vectors that are null or zero, or hold null or non-finite components, take no part. Each dimension is searched by itself.
 Ties go to the smaller id. Rows that share a query's id are not its candidates. Fewer candidates than k are all returned;
 an empty table gives an empty result. Repeated vectors are candidates one by one. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -129,12 +131,16 @@ def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: st
     spark = df.sparkSession
     fine = ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vector, lambda v: v != 0)
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = f"query_id long, rank int, {key} long, score double"
+    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
     if not sizes:
-        return spark.createDataFrame([], schema)
-    n, d = sizes[0]["count"], sizes[0]["d"]
-    rows = rows.where(F.size("v") == d)
+        return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
+    # vectors of different dimensions have no similarity, so each dimension is a search of its own
+    return reduce(DataFrame.unionByName, (search_rows(rows.where(F.size("v") == r["d"]), r["count"], k, key, sample, part_rows, block, seed) for r in sizes))
+
+
+def search_rows(rows: DataFrame, n: int, k: int, key: str, sample: int, part_rows: int, block: int, seed: int) -> DataFrame:
+    """The search among n rows (id, v, q) of one dimension."""
+    spark = rows.sparkSession
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "v").limit(sample).select("v").toPandas()["v"]
     x = np.stack(drawn.to_numpy()).astype(float)
     parts = int(min(MOST_PARTS, max(1, n // part_rows), max(1, len(x) // 32)))

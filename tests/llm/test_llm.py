@@ -266,6 +266,16 @@ def test_ann_equals_brute_force_where_it_visits_all(spark):
     assert len(got) == 300 and ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_searches_each_dimension(spark):
+    r = np.random.default_rng(4)
+    x = [r.normal(size=6 if i < 40 else 9) for i in range(65)]
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 8 == 0).collect()
+    for q in range(0, 65, 8):
+        same = [i for i in range(65) if i != q and len(x[i]) == len(x[q])]
+        want = sorted(same, key=lambda i: -float(x[i] @ x[q]))[:20]
+        assert [g["vec_id"] for g in sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])] == want
+
+
 def test_ann_routes(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(40, 16))[r.integers(0, 40, 4000)] + 0.2 * r.normal(size=(4000, 16))
