@@ -2,7 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from graindeck.llm import bpe, mixing, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,3 +47,48 @@ def test_near_duplicates_leave_one_row_of_each_group(spark):
     assert len(got) == len(want) and all(sum(g in w for g in got) == 1 for w in want)
     assert Counter(k for _, k in got) == {3: 1, 9: 1, 7: 1, 8: 1, None: 2}
     assert (text("alone"), 9) in got and (text("copy"), 3) in got
+
+
+def test_each_stage_equals_brute_force(spark, tmp_path):
+    rows = [(i, f"{text(f'n{i}x')}\nthe same line in all\n{'a b c ' * i}", "en", f"s{i % 2}", 1) for i in range(12)] + [(20, "the same line in all", "en", "s0", 1), (3, text("n3x"), "en", "s1", 1), (None, text("n4x"), "en", "s0", 1), (21, "", "en", "s0", 1), (22, None, "en", "s1", 1)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(12)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    judged = quality.classify(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+    for name, stage in corpus_pipeline.STAGES:
+        given = [tuple(r[c] for c in columns) for r in docs.collect()]
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = Counter(tuple(r[c] for c in columns if c in docs.columns) for r in docs.collect())
+        if name == "quality_classifier":
+            want = Counter(tuple(r[c] for c in columns) for r in judged if r["score"] >= 0.3)
+        elif name == "line_dedup":
+            want, seen = Counter(), []
+            for key, t, *rest in sorted(given, key=lambda r: (r[0] is None, r[0] or 0, -len(r[1] or ""))):
+                lines = []
+                for line in (t or "").split("\n"):
+                    w = set(line.split())
+                    if not w or not any(100 * len(w & o) >= 80 * len(w | o) for o in seen):
+                        lines.append(line)
+                    seen += [w] if w else []
+                cut = "\n".join(lines)
+                if t is None or cut == t or cut.strip():
+                    want[(key, None if t is None else cut, *rest[:2], rest[2] if t is None or cut == t else len(cut))] += 1
+        elif name == "ngram_jaccard_join":
+            groups = kept_of_groups([r[:2] for r in given])
+            assert sum(got.values()) == len(groups) and all(sum((r[1], r[0]) in g for r in got.elements()) == 1 for g in groups)
+            want = Counter({r: n for r, n in Counter(given).items() if r in got}) & got
+        elif name == "source_mixing":
+            want = Counter({r: got[r] for r in given if (r[1] or "").strip() and got[r]})
+            for s in {r[3] for r in given}:
+                size = {r: len((r[1] or "").split()) for r in given if r[3] == s}
+                target = next(r["target"] for r in mixing.mix(spark.createDataFrame(given, SCHEMA)).collect() if r["source"] == s)
+                assert abs(sum(n * size[r] for r, n in got.items() if r[3] == s) - target) <= max(size.values())
+        else:
+            theirs = Tokenizer.from_file(bpe.vocabulary())
+            out = Counter((r["doc_id"], tuple(np.frombuffer(r["token_ids"], "<u4").tolist())) for r in docs.collect())
+            assert out == Counter((r[0], tuple(theirs.encode(r[1] or "", add_special_tokens=False).ids)) for r in given)
+            continue
+        assert got and got == want, name
