@@ -58,3 +58,17 @@ def calls(text: str | None) -> list[dict]:
 @F.pandas_udf(CALL)
 def parsed_calls(a: pd.Series) -> pd.Series:
     return pd.Series([calls(x) for x in a])
+
+
+def parses_one(code: str | None) -> bool:
+    try:
+        ast.parse(code or "")
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return False
+    return True
+
+
+@F.pandas_udf(T.BooleanType())
+def parses(codes: pd.Series) -> pd.Series:
+    """Whether any of a row's codes is valid Python. Nothing is run."""
+    return pd.Series([any(parses_one(c) for c in row) if row is not None else False for row in codes])

@@ -143,13 +143,6 @@ def score_integer_answer(spark, sf_dir):
     return per_rollout(spark, sf_dir, "integer_answer")
 
 
-@query("type_dispatch_score", f"{SCORED} select rollout_id, type, round(case type when 'math' then a when 'mcq' then a when 'code' then g when 'essay' then k else f end, 6) score from s")
-def type_dispatch_score(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    pick = F.when(F.col("type").isin("math", "mcq"), F.col("accuracy")).when(F.col("type") == "code", F.col("tag_structure")).when(F.col("type") == "essay", F.col("conciseness")).otherwise(F.col("format"))
-    return df.select("rollout_id", "type", r6(pick).alias("score"))
-
-
 @query("type_distribution", f"{SCORED} select type, count(*) n, round(count(*) / sum(count(*)) over (), 6) share, round(count(*) filter ({TOTAL} > 0.5) / count(*), 6) accuracy from s group by 1")
 def type_distribution(spark, sf_dir):
     by = scored(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reward") > 0.5).alias("h"))
@@ -244,31 +237,7 @@ def curriculum_prefix(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.length(cut).cast("long").alias("n_chars"), F.md5(cut).alias("digest"))
 
 
-# ---- routing and loading
-ALIASES = {"en": "general_qna", "de": "math", "fr": "mcq", "es": "python"}
-
-
-@query("type_detection", r"select doc_id, case when regexp_matches(coalesce(text, ''), '[0-9]+ *[+*/=-] *[0-9]+') then 'math' when regexp_matches(coalesce(text, ''), '\b(def|import|class|return)\b') then 'python' when length(coalesce(text, '')) >= 5 then 'general_qna' else 'rejected' end as type from documents")
-def type_detection(spark, sf_dir):
-    t = F.col("t")
-    kind = F.when(t.rlike(r"[0-9]+ *[+*/=-] *[0-9]+"), "math").when(t.rlike(r"\b(def|import|class|return)\b"), "python").when(F.length(t) >= 5, "general_qna").otherwise("rejected")
-    return docs(spark, sf_dir).select("doc_id", kind.alias("type"))
-
-
-@query("alias_normalization", "select coalesce(a.canonical, lower(lang)) as type, count(*) n from documents left join (values ('en', 'general_qna'), ('de', 'math'), ('fr', 'mcq'), ('es', 'python')) a(alias, canonical) on lower(trim(lang)) = alias group by 1")
-def alias_normalization(spark, sf_dir):
-    names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    kind = F.coalesce(names[F.lower(F.trim("lang"))], F.lower("lang"))
-    return table(spark, sf_dir, "documents").groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("loader_reject_stats", f"select case when text is null then 'missing' when length({s_('text')}) < 5 then 'too short' when role = 'system' then 'system turn' else 'accepted' end reason, count(*) n from conversations group by 1")
-def loader_reject_stats(spark, sf_dir):
-    t = F.col("text")
-    reason = F.when(t.isNull(), "missing").when(F.length(tx.strip(t)) < 5, "too short").when(F.col("role") == "system", "system turn").otherwise("accepted")
-    return table(spark, sf_dir, "conversations").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
+# ---- loading
 @query("dataset_union", "select _dataset, count(*) n, sum(length(text))::bigint chars from (select 'benchmark' _dataset, text from benchmark union all select 'documents', text from documents) group by 1")
 def dataset_union(spark, sf_dir):
     frames = {n: table(spark, sf_dir, n).select("text") for n in ("benchmark", "documents")}
@@ -416,3 +385,6 @@ def tool_call_match(spark, sf_dir):
     hits = F.size(F.array_intersect(F.flatten(F.transform("g", lambda c: c["arguments"])), F.flatten(F.transform("w", lambda c: c["arguments"])))) / F.size(F.flatten(F.transform("w", lambda c: c["arguments"])))
     exact = F.when(F.col("g") == F.col("w"), 1.0).otherwise(0.0)
     return df.select("id", r6(names).alias("names"), r6(hits).alias("arguments"), r6(0.4 * names + 0.4 * hits + 0.2 * exact).alias("overall"))
+
+
+from . import typed  # noqa: E402, F401  its queries register themselves
