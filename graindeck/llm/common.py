@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Spark's setting to delete the shuffle files of a query as it ends. Each plan that written() runs is run once, so none is read again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,10 +50,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df written as a table in the shared folder and read again: computed once, and its lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables that written() made, once nothing reads them any more."""
     for df in frames:

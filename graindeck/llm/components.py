@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import dropped, written
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one ordered type, nulls and loops ignored. A row (node, component) for each node of a link;
     component is the smallest node reachable. Each round is written, so lineage stays short; rounds grow with the
-    logarithm of the longest chain. Nothing but a count and a hash of the links reaches the driver."""
+    logarithm of the longest chain, and go on until no link changes. Nothing but a count and a hash of the links reaches the driver."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     last = None
-    for _ in range(most):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
