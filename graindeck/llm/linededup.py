@@ -2,8 +2,9 @@
 
 A line's set holds its distinct words (as they are). A line goes if an earlier one, by (id, line number), is equal to it or
 has a Jaccard similarity of at least SIMILAR / 100. Words are ordered by rarity, read from counts of all words in 2^CELLS
-cells; a word's key is its cell's rank and 49 bits of its hash, so sorting keys sorts by rarity. Lines of equal sets are one
-class, named in order of first appearance. Two classes can only be similar if they share a key of their prefixes; pairs that
+cells; a word's key is its cell's rank and 49 bits of its hash, so sorting keys sorts by rarity. Lines whose sorted keys have
+equal 64-bit hashes and numbers are one class, named in order of first appearance: among n distinct sets, two that differ
+are taken for one at a chance of about n^2 / 2^65. Two classes can only be similar if they share a key of their prefixes; pairs that
 do are kept if their lengths, the positions of that key and two words of parity bits (which no more positions can differ in
 than the sets differ in words) allow the similarity, and are verified on the lines themselves. One similar earlier line
 decides a line, so each class first meets the earliest class of each of its keys, ROUNDS times over (then the
@@ -12,40 +13,52 @@ each member, and no decision changes.
 
 Nulls: a null text has no lines and stays null; a null id comes after all others; lines without a word stay. Repeated rows
 of one id and text are one document: their lines stay or go alike. An empty table gives an empty result. Other columns pass
-through.
+through, whatever their names; only lines_removed is replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, dropped, let, table, words, written
+from .common import SPACE, dropped, let, table, unused, words, written
 
 SIMILAR = 80
-CELLS = 20
+CELLS = 18
 ROUNDS = 1
+#: A join on keys is done in so many steps, each for a share of the keys, so that less disk is used at once.
+SHARES = 2
 ORDER = ("missing", "id", "doc", "line")
+HASH_BITS = 49
+
+
+def line_words(s: Column) -> Column:
+    """The words of a line, and empty strings among them; most lines have no white space but spaces and need only a split."""
+    odd = "\t\x0b\x0c\r"
+    return F.split(F.when(s.rlike(f"[{odd}]"), F.translate(s, odd, " " * len(odd))).otherwise(s), " ")
+
+
+def cell(w: Column) -> Column:
+    return F.hash(w).bitwiseAND((1 << CELLS) - 1)
 
 
 def ranks(df: DataFrame, text: str) -> DataFrame:
-    """One row: an array with the rank by rarity of each of 2^CELLS cells of words, of a fixed size."""
-    cells = df.select(F.explode(words(F.col(text))).alias("w")).select(F.shiftrightunsigned(F.xxhash64("w"), 64 - CELLS).cast("int").alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    # dense ranks of counts, in order of magnitude above 4096, so that few bits hold them
+    """One row: an array with the rank by rarity of each of 2^CELLS cells of words, where a key has it; of a fixed size."""
+    lines = df.select(F.explode(F.split(F.col(text), "\n")).alias("s"))
+    counts = lines.select(F.explode(line_words(F.col("s"))).alias("w")).where("w <> ''").groupBy(cell(F.col("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    # counts, in order of magnitude above 4096, so that few bits hold them
     level = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(4096 + 256 * F.log2(F.col("n") / 4096)))
-    pairs = counts.select("cell", F.least(level, F.lit(16383)).cast("int").alias("level"))
+    pairs = counts.select("cell", F.shiftleft(F.least(level, F.lit(16383)).cast("long"), HASH_BITS).alias("level"))
     every = df.sparkSession.range(1 << CELLS).select(F.col("id").cast("int").alias("cell")).join(pairs, "cell", "left")
-    slices = every.groupBy(F.shiftright("cell", 10).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("level", F.lit(0)).alias("level")))).alias("a"))
+    slices = every.groupBy(F.shiftright("cell", 10).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("level", F.lit(0).cast("long")).alias("level")))).alias("a"))
     return slices.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("slice", F.transform("a", lambda x: x.level).alias("a")))), lambda x: x.a)).alias("rank"))
 
 
-def keys(tokens: Column, rank: Column) -> Column:
+def keys(w: Column, rank: Column) -> Column:
     """The sorted distinct keys of an array of words: rank, then hash bits that tell words apart."""
-
-    def key(h: Column) -> Column:
-        return F.shiftleft(F.get(rank, F.shiftrightunsigned(h, 64 - CELLS).cast("int")).cast("long"), 49).bitwiseOR(F.shiftrightunsigned(F.shiftleft(h, 5), 15))
-
-    return F.sort_array(F.array_distinct(F.transform(F.transform(tokens, lambda w: F.xxhash64(w)), key)))
+    key = lambda x: F.get(rank, cell(x)).bitwiseOR(F.xxhash64(x).bitwiseAND((1 << HASH_BITS) - 1))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(w, ""), key)))
 
 
 def bit(i: Column) -> Column:
@@ -54,32 +67,32 @@ def bit(i: Column) -> Column:
 
 
 def parity(k: Column, shift: int) -> Column:
-    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(F.shiftright(x, shift))))
+    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(F.shiftright(x, shift) if shift else x)))
 
 
 def prefix_length(n: Column, similar: int) -> Column:
     return n - F.ceil(n * similar / 100) + 1
 
 
-def lines_of(df: DataFrame, text: str, key: str, split: bool = True) -> DataFrame:
-    """One row for each line with a word: its order columns and its words, or, unsplit, the line itself (s)."""
-    docs = df.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("missing"), F.col(key).cast("long").alias("id"), F.xxhash64(F.lit(3), text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
-    return docs.where(F.col("s").rlike(f"[^{SPACE}]")).select(*ORDER, words(F.col("s")).alias("w") if split else "s")
+def doc_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit(3), text)
 
 
-def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
-    """The order columns (missing, id, doc, line) of each line that goes."""
-    spark = df.sparkSession
-    rank = written(ranks(df, text), "ranks").scalar()  # 2^CELLS integers, whatever the input
+def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
+    """One row for each line with a word: its order columns and the line (s)."""
+    docs = df.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("missing"), F.col(key).cast("long").alias("id"), doc_hash(F.col(text)).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
+    return docs.where(F.col("s").rlike(f"[^{SPACE}]"))
 
-    def measured(k: Column) -> Column:
-        n = F.size(k)
-        return F.struct(F.xxhash64(k).alias("sig"), n.alias("n"), F.slice(k, F.lit(1), prefix_length(n, similar).cast("int")).alias("prefix"), parity(k, 0).alias("p"), parity(k, 6).alias("q"))
 
-    # the optimizer merges both steps, so that rows don't carry the ranks
-    lines = lines_of(df, text, key).select(*ORDER, "w", rank.alias("rank"))
-    lines = lines.select(*ORDER, let(F.col("rank"), lambda r: let(keys(F.col("w"), r), measured)).alias("x"))
-    lines = written(lines.select(*ORDER, "x.*"), "lines")
+def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
+    """The order columns (missing, id, doc, line) of each line that goes."""
+    rank = written(ranks(df, text), "ranks")
+    # the optimizer merges the first two steps, so that rows don't carry the ranks
+    lines = lines_of(df, text, key).select(*ORDER, "s", rank.scalar().alias("rank"))
+    lines = lines.select(*ORDER, keys(line_words(F.col("s")), F.col("rank")).alias("k"))
+    k, n = F.col("k"), F.size("k")
+    lines = written(lines.select(*ORDER, F.xxhash64(k).alias("sig"), n.alias("n"), F.slice(k, F.lit(1), prefix_length(n, similar).cast("int")).alias("prefix"), parity(k, 0).alias("p"), parity(k, 6).alias("q")), "lines")
+    dropped(rank)
     order = F.struct(*ORDER)
     classes = lines.groupBy("sig", "n").agg(F.min(F.struct(order.alias("o"), F.col("prefix"), F.col("p"), F.col("q"))).alias("first"))
     # sorted by first appearance, so that a smaller cid means an earlier line
@@ -87,6 +100,7 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     firsts = classes.select(F.col("sig").alias("s"), F.col("n").alias("m"), F.col("o").alias("first"))
     equal = written(lines.join(firsts, (lines["sig"] == firsts["s"]) & (lines["n"] == firsts["m"])).where(order != F.col("first")).select(*ORDER), "equal")
     dropped(lines)
+    used = [classes, equal]
     # sets of under 4 words are similar only if they are equal
     least = -(-similar // (100 - similar))
     rows = classes.where(F.col("n") >= least).select("cid", "n", "p", "q", F.posexplode("prefix").alias("i", "key"))
@@ -95,9 +109,13 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     sets, near = None, []
     for last in (*[False] * ROUNDS, True):
         met = rows if last else heads.groupBy("key").agg(*[F.min_by(c, "cid").alias(c) for c in ("cid", "n", "p", "q", "i")])
-        pairs = written(candidates(met, waiting, similar), "pairs")
+        # a share of the keys at a time, whose shuffle files go before the next share's are written
+        shares = [written(candidates(*(x.where(F.pmod("key", F.lit(SHARES)) == k) for x in (met, waiting)), similar), "pairs") for k in range(SHARES)]
+        used += shares
+        pairs = reduce(DataFrame.unionByName, shares).distinct()
         more = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         more = word_sets(df, classes, more if sets is None else more.join(sets, "cid", "left_anti"), text, key)
+        used.append(more)
         sets = more if sets is None else sets.unionByName(more)
         near.append(written(similar_pairs(pairs, sets, similar), "near"))
         waiting = waiting.join(near[-1], "cid", "left_anti")
@@ -107,7 +125,9 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     gone = near[0]
     for x in near[1:]:
         gone = gone.unionByName(x)
-    return equal.unionByName(classes.select("cid", "o.*").join(gone, "cid").select(*ORDER))
+    gone = written(equal.unionByName(classes.select("cid", "o.*").join(gone, "cid").select(*ORDER)), "gone")
+    dropped(*used, *near)
+    return gone
 
 
 def candidates(earlier: DataFrame, later: DataFrame, similar: int) -> DataFrame:
@@ -135,12 +155,14 @@ def word_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, k
     bitmap = places.select(spot(F.col("doc")).alias("h")).distinct().groupBy(F.shiftright("h", 6).alias("k")).agg(F.bit_or(bit(F.col("h"))).alias("m"))
     every = df.sparkSession.range(bits >> 6).select(F.col("id").cast("int").alias("k")).join(bitmap, "k", "left")
     mask = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("m", F.lit(0).cast("long")).alias("m")))), lambda x: x.m).alias("mask"))
-    doc = F.xxhash64(F.lit(3), text)
+    doc = doc_hash(F.col(text))
     some = df.select(text, key).where(F.get(mask.scalar(), F.shiftright(spot(doc), 6)).bitwiseAND(bit(spot(doc))) != 0)
-    found = lines_of(some, text, key, split=False)
+    found = lines_of(some, text, key)
     same = [found["id"].eqNullSafe(places["id"]), found["doc"] == places["doc"], found["line"] == places["line"]]
     lines = found.join(places, same[0] & same[1] & same[2]).select("cid", "s").dropDuplicates(["cid"])
-    return written(lines.select("cid", F.transform(F.array_distinct(words(F.col("s"))), lambda w: F.xxhash64(w)).alias("w")), "sets")
+    sets = written(lines.select("cid", F.array_distinct(F.transform(F.array_remove(line_words(F.col("s")), ""), lambda w: F.xxhash64(w))).alias("w")), "sets")
+    dropped(places)
+    return sets
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -164,18 +186,18 @@ def without_lines(text: Column, gone: Column) -> Column:
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
     """df with its texts less the lines that go, and lines_removed, an array of their numbers from 0."""
-    gone = removals(df, text, key, similar).groupBy("id", "doc").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    gone = gone.withColumnsRenamed({"id": "_id", "doc": "_doc"})
-    joined = df.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.lit(3), text) == F.col("_doc")), "left")
-    kept = [c for c in df.columns if c not in (text, "lines_removed")]
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("_gone")))
-    out = joined.select(*kept, cleaned.alias(text), F.coalesce("_gone", F.array().cast("array<int>")).alias("lines_removed"))
-    return out.select(*df.columns, "lines_removed") if "lines_removed" not in df.columns else out
+    gone = removals(df, text, key, similar).groupBy("id", "doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    by_id, by_doc, at = unused(df, "_id", "_doc", "_gone")
+    gone = gone.withColumnsRenamed({"id": by_id, "doc": by_doc, "lines": at})
+    joined = df.join(gone, F.col(key).cast("long").eqNullSafe(F.col(by_id)) & (doc_hash(F.col(text)) == F.col(by_doc)), "left")
+    cleaned = F.when(F.col(at).isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col(at)))
+    removed = F.coalesce(at, F.array().cast("array<int>"))
+    return joined.select(*(cleaned.alias(text) if c == text else F.col(c) for c in df.columns if c != "lines_removed"), removed.alias("lines_removed"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = removals(docs).groupBy("id", "doc").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    seen = docs.select("doc_id", F.xxhash64(F.lit(3), "text").alias("_doc"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    seen = docs.select("doc_id", doc_hash(F.col("text")).alias("_doc"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = seen.join(gone.withColumnsRenamed({"doc": "_d"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_doc") == F.col("_d")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.coalesce("_gone", F.array().cast("array<int>")).cast("array<string>"), ",").alias("removed"))
