@@ -1,29 +1,32 @@
 """Approximate nearest neighbours by learned partitions, for the largest inner product.
 
-A sample of at most SAMPLE vectors gives a graph of nearest neighbours, which is cut into balanced parts: halving along
-principal directions, then moving vertices to the part most of their neighbours are in, while there is room. A small
-network learns from that the share of a vector's neighbours in each part. It puts every vector of the table into its most
-probable part and sends a query to its several most probable ones, as many as a held-out share of the sample needs for
-RECALL; the candidates there are ranked anew by their exact inner products. The sample bounds only the fit: every vector is
-indexed. Parts of over BLOCK rows are dealt to several tasks, and queries likewise, so no task holds a whole large part.
+A sample of at most SAMPLE vectors gives a graph of nearest neighbours, which is cut into balanced parts of about PART rows of
+the table (SAMPLE / 32 parts at most): halving along principal directions, then moving vertices to the part most of their
+neighbours are in, while there is room. A small network learns from that the share of a vector's neighbours in each part, and
+puts every vector of the table into its most probable part, after a handicap for each part that evens their sizes out. A second
+network, of the same form, learns where the neighbours of a vector were put, and sends a query to its several most probable
+parts, as many as a held-out share of the sample needs for RECALL; the candidates there are ranked anew by their exact inner
+products. The sample bounds only the fit: every vector is indexed. Parts of over BLOCK rows are dealt to several tasks, and
+queries likewise, so no task holds a whole large part.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part. Each dimension is searched by itself.
-Ties go to the smaller id. Rows that share a query's id are not its candidates. Fewer candidates than k are all returned;
-an empty table gives an empty result. Repeated vectors are candidates one by one. Other columns aren't read.
+Ties go to the smaller id. Rows that share a query's id are not its candidates. Rows that repeat both id and vector count
+once; an id with several vectors is a query, or a candidate, for each. Fewer candidates than k are all returned; an empty
+table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import table
+from .common import table, written
 
-SAMPLE, NEIGHBOURS, PART, BLOCK, HIDDEN, RECALL = 8192, 24, 4096, 8192, 96, 0.96
-MOST_PARTS = 256
+SAMPLE, NEIGHBOURS, PART, BLOCK, HIDDEN, RECALL = 16384, 24, 160, 8192, 96, 0.93
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -92,28 +95,51 @@ class Router:
                     v[i] = 0.999 * v[i] + 0.001 * grad * grad
                     self.w[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(x * self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
+
     def parts(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n most probable parts of each row, the first first."""
-        z = np.maximum(x * self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
-        return np.argsort(-z, axis=1, kind="stable")[:, :n]
-
-
-def fit(x: np.ndarray, parts: int, recall: float = RECALL) -> tuple[Router, int]:
-    """A router, and the number of parts that a query needs for the recall; it trains without a fifth that sets that number."""
-    k = min(NEIGHBOURS, len(x) - 1)
-    graph = neighbour_graph(x, k)
-    part = balanced_parts(x, graph, parts)
-    share = np.zeros((len(x), parts))
-    np.add.at(share, (np.repeat(np.arange(len(x)), k), part[graph].ravel()), 1.0 / k)
-    held = np.arange(len(x)) % 5 == 0
-    router = Router(x[~held], share[~held])
-    order, put = router.parts(x[held], parts), router.parts(x, 1)[:, 0]
-    place = np.argsort(order, axis=1)  # the rank at which each part is visited
-    found_at = np.take_along_axis(place, put[graph[held]], axis=1)
-    for n in range(1, parts):
-        if (found_at < n).mean() >= recall:
-            return router, n
-    return router, parts
+        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :n]
+
+
+def handicaps(z: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """What to take from each part's score so that about as many rows are put into each."""
+    parts = z.shape[1]
+    even, taken = len(z) / parts, np.zeros(parts)
+    for i in range(rounds):
+        size = np.bincount((z - taken).argmax(1), minlength=parts)
+        taken += (0.5 * 0.95**i) * np.log((size + 1) / (even + 1))
+    return taken
+
+
+class Index:
+    """Where rows are put and which parts a query visits."""
+
+    def __init__(self, x: np.ndarray, parts: int, recall: float = RECALL):
+        k = min(NEIGHBOURS, len(x) - 1)
+        graph = neighbour_graph(x, k)
+
+        def shares(part: np.ndarray) -> np.ndarray:
+            share = np.zeros((len(x), parts))
+            np.add.at(share, (np.repeat(np.arange(len(x)), k), part[graph].ravel()), 1.0 / k)
+            return share
+
+        self.placer = Router(x, shares(balanced_parts(x, graph, parts)))
+        self.taken = handicaps(self.placer.scores(x))
+        put = self.put(x)
+        # a fifth sets the number of visits, for which the router mustn't have seen it
+        held = np.arange(len(x)) % 5 == 0
+        self.router = Router(x[~held], shares(put)[~held])
+        place = np.argsort(self.router.parts(x[held], parts), axis=1)  # the rank at which each part is visited
+        found_at = np.take_along_axis(place, put[graph[held]], axis=1)
+        self.visits = next((n for n in range(1, parts) if (found_at < n).mean() >= recall), parts)
+
+    def put(self, x: np.ndarray) -> np.ndarray:
+        return (self.placer.scores(x) - self.taken).argmax(1)
+
+    def visited(self, x: np.ndarray) -> np.ndarray:
+        return self.router.parts(x, self.visits)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, c: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,58 +152,78 @@ def best(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, c: np.ndarray, own:
     return ids[near][top], exact[top]
 
 
-def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, part_rows: int = PART, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """query_id, rank, the key and score of the k nearest of each row for which the condition is_query holds."""
+def vector_key(q: np.ndarray) -> int:
+    """A signed 64-bit hash of a vector, alike in every process."""
+    return int.from_bytes(hashlib.blake2b(q.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def search(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, part_rows: int = PART, block: int = BLOCK, seed: int = 11, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, the key and score of the k nearest of each row for which the condition is_query holds. A recall of 1 visits all parts."""
     spark = df.sparkSession
     fine = ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(vector, lambda v: v != 0)
-    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
     if not sizes:
         return spark.createDataFrame([], f"query_id long, rank int, {key} long, score double")
     # vectors of different dimensions have no similarity, so each dimension is a search of its own
-    return reduce(DataFrame.unionByName, (search_rows(rows.where(F.size("v") == r["d"]), r["count"], k, key, sample, part_rows, block, seed) for r in sizes))
+    return reduce(DataFrame.unionByName, (search_rows(rows.where(F.size("v") == r["d"]), r["count"], k, key, sample, part_rows, block, seed, recall) for r in sizes))
 
 
-def search_rows(rows: DataFrame, n: int, k: int, key: str, sample: int, part_rows: int, block: int, seed: int) -> DataFrame:
-    """The search among n rows (id, v, q) of one dimension."""
-    spark = rows.sparkSession
+def index(rows: DataFrame, n: int, sample: int, part_rows: int, seed: int, recall: float) -> tuple[Index | None, int]:
+    """An index fitted on a sample of n rows, and its number of parts; too few rows for two parts need none."""
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "v").limit(sample).select("v").toPandas()["v"]
     x = np.stack(drawn.to_numpy()).astype(float)
-    parts = int(min(MOST_PARTS, max(1, n // part_rows), max(1, len(x) // 32)))
-    router, visits = fit(x, parts) if parts > 1 else (None, 1)
-    sent = spark.sparkContext.broadcast(router)
+    parts = max(1, min(round(n / part_rows), len(x) // 32))
+    return (Index(x, parts, recall) if parts > 1 else None), parts
+
+
+def search_rows(rows: DataFrame, n: int, k: int, key: str, sample: int, part_rows: int, block: int, seed: int, recall: float) -> DataFrame:
+    """The search among n rows (id, v, q) of one dimension."""
+    spark = rows.sparkSession
+    fitted, parts = index(rows, n, sample, part_rows, seed, recall)
+    sent = spark.sparkContext.broadcast(fitted)
 
     def routed(batches):
         for b in batches:
             if len(b):
-                y = np.stack(b["v"].to_numpy()).astype(float)
-                p = sent.value.parts(y, visits) if sent.value else np.zeros((len(b), 1), int)
-                yield pd.DataFrame({"id": b["id"], "v": b["v"], "q": b["q"].fillna(False).astype(bool), "parts": list(p.astype(np.int32))})
-
-    placed = rows.mapInPandas(routed, "id long, v array<double>, q boolean, parts array<int>")
-    held = {r["p"]: (r["n"], r["m"]) for r in placed.groupBy(F.col("parts")[0].alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m")).collect()}
-    asked = {r["p"]: r["n"] for r in placed.where("q").select(F.explode("parts").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = F.array(*[F.lit(max(1, -(-held.get(p, (0, 0))[0] // block))) for p in range(parts)])
+                y, q = np.stack(b["v"].to_numpy()).astype(float), b["q"].to_numpy(bool)
+                p = sent.value.put(y) if sent.value else np.zeros(len(b), int)
+                asked = [None] * len(b)
+                for i, to in zip(np.flatnonzero(q), sent.value.visited(y[q]) if sent.value else np.zeros((q.sum(), 1), int)):
+                    asked[i] = to.astype(np.int32)
+                yield pd.DataFrame({"id": b["id"], "v": b["v"], "p": p, "parts": asked})
+
+    placed = written(rows.mapInPandas(routed, "id long, v array<double>, p int, parts array<int>"), "placed")
+    held = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked = {r["p"]: r["n"] for r in placed.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = F.array(*[F.lit(max(1, -(-held.get(p, 0) // block))) for p in range(parts)])
     q_cuts = F.array(*[F.lit(max(1, -(-asked.get(p, 0) // block))) for p in range(parts)])
     sliced = lambda cuts, p: F.pmod(F.xxhash64(F.lit(seed), "id"), cuts[p]).cast("int")
     every = lambda cuts, p: F.explode(F.sequence(F.lit(0), cuts[p] - 1))
     p = F.col("p")
-    cands = placed.select("id", "v", F.col("parts")[0].alias("p")).select("id", "v", "p", sliced(cuts, p).alias("s"), every(q_cuts, p).alias("t"))
-    asks = placed.where("q").select("id", "v", F.explode("parts").alias("p")).select("id", "v", "p", sliced(q_cuts, p).alias("t"), every(cuts, p).alias("s"))
+    cands = placed.select("id", "v", "p", sliced(cuts, p).alias("s"), every(q_cuts, p).alias("t"))
+    asks = placed.select("id", "v", F.explode("parts").alias("p")).select("id", "v", "p", sliced(q_cuts, p).alias("t"), every(cuts, p).alias("s"))
+
+    def distinct(d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = d["id"].to_numpy(), np.stack(d["v"].to_numpy())
+        if d["id"].is_unique:
+            return ids, v
+        first = ~pd.DataFrame({"id": ids, "v": [x.tobytes() for x in v]}).duplicated().to_numpy()
+        return ids[first], v[first]
 
     def ranked(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(c):
-            y, ids = np.stack(c["v"].to_numpy()), c["id"].to_numpy()
-            for at in range(0, len(a), 256):
-                qs = np.stack(a["v"].iloc[at : at + 256].to_numpy())
-                for own, q, s in zip(a["id"].iloc[at : at + 256], qs, qs @ y.T):
+            (asking, x), (ids, y) = distinct(a), distinct(c)
+            for at in range(0, len(x), 256):
+                qs = x[at : at + 256]
+                for own, q, s in zip(asking[at : at + 256], qs, qs @ y.T):
                     near, exact = best(s, ids, q, y, own, k)
-                    out.append(pd.DataFrame({"query_id": own, key: near, "score": exact}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), key: pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
+                    out.append(pd.DataFrame({"query_id": own, "_q": vector_key(q), key: near, "score": exact}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "_q": pd.Series(dtype="int64"), key: pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
 
-    found = asks.groupBy("p", "s", "t").cogroup(cands.groupBy("p", "s", "t")).applyInPandas(ranked, f"query_id long, {key} long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    found = asks.groupBy("p", "s", "t").cogroup(cands.groupBy("p", "s", "t")).applyInPandas(ranked, f"query_id long, _q long, {key} long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "_q").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
