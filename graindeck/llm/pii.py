@@ -2,7 +2,7 @@
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its test; they always stay. Looser
 generators propose further spans (written-out or bracketed addresses, defanged IPs, cards of 13 to 19 digits with other
-separators, phones without a plus). Trees boosted on the logistic loss score each by its format and the words and
+separators, phones without a plus, and values that stand where a token, key or password is given, as the kind secret). Trees boosted on the logistic loss score each by its format and the words and
 characters around it; a kind's threshold is the least whose precision on held-out examples is PRECISION. Candidates that
 touch a base span are left out, and of candidates that touch each other the likeliest stays. The trees learn from EXAMPLES
 texts made here from a seed, read by the same expressions, and become one expression over the features.
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import let, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order of results; the last has no base pattern.
+KINDS = ("email", "ip", "card", "phone", "secret")
 # The base patterns. A start inside a run that an earlier start would have taken whole is left out, and runs are taken
 # whole at once; both leave the matches as they are and the time linear.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -31,15 +32,17 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+NAMED, VALUE = "token|key|secret|passw(?:or)?d|bearer|credential", "[A-Za-z0-9_+/=.~-]"
 LOOSE = {
     "email": rf"{LOCAL}{{1,64}} ?(?:@|[(\[]at[)\]]|(?<= )at(?= )) ?[A-Za-z0-9-]{{1,63}}(?:(?:\.| ?[(\[](?:dot|\.)[)\]] ?| dot )[A-Za-z0-9-]{{1,63}}){{1,4}}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?: ?[(\[](?:dot|\.)[)\]] ?| dot )[0-9]{1,3}){3}+",
     "card": r"(?<![0-9])[0-9](?:[ ._-]?[0-9]){12,18}+",
     "phone": r"(?<![0-9])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "secret": rf"(?<=(?i:{NAMED})[\"' ]{{0,2}}[:= ]{{1,3}}[\"']{{0,1}})(?<!{VALUE}){VALUE}{{12,256}}+",
 }
 #: What a text must hold for a pattern to be tried: each is implied by its pattern.
 BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]| at ", "ip": r"[0-9](?: ?[(\[]| dot )", "card": r"[0-9][ ._-]?[0-9][ ._-]?[0-9][ ._-]?[0-9]", "phone": r"[0-9][ .-][0-9]{4}"}
+LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]| at ", "ip": r"[0-9](?: ?[(\[]| dot )", "card": r"[0-9][ ._-]?[0-9][ ._-]?[0-9][ ._-]?[0-9]", "phone": r"[0-9][ .-][0-9]{4}", "secret": rf"(?i:{NAMED})[\"': =]"}
 AROUND = 24
 EXAMPLES, TREES, DEPTH, RATE, PRECISION = 3000, 24, 3, 0.3, 0.99
 SPAN = "array<struct<kind:int,start:int,end:int,m:string>>"
@@ -85,11 +88,11 @@ def matches(text: Column, pattern: str, kind: int, needs: str) -> Column:
 
 def worth(text: Column) -> Column:
     """Whether a text can hold a match of any pattern; most can't, and then none is tried."""
-    return text.rlike(rf"[0-9]|{LOOSE_NEEDS['email']}")
+    return text.rlike(rf"[0-9]|{LOOSE_NEEDS['email']}|{LOOSE_NEEDS['secret']}")
 
 
 def base_spans(text: Column) -> Column:
-    return F.concat(*(F.filter(matches(text, BASE[k], i, BASE_NEEDS[k]), tested(k)) for i, k in enumerate(KINDS)))
+    return F.concat(*(F.filter(matches(text, BASE[k], i, BASE_NEEDS[k]), tested(k)) for i, k in enumerate(BASE)))
 
 
 def touching(a: Column, b: Column) -> Column:
@@ -127,6 +130,11 @@ def features(c: Column) -> dict[str, Column]:
         "says_card": one(c.before.rlike(r"(?i)(?:card|visa|master|amex|credit|debit)")),
         "says_ip": one(c.before.rlike(r"(?i)(?:\bip\b|host|server|address|ping)")),
         "says_other": one(c.before.rlike(r"(?i)(?:order|isbn|serial|version|no\.|id|ref|account|tracking|token|key|\$|#)")),
+        "says_secret": one(c.before.rlike(rf"(?i)(?:{NAMED})[\"' ]{{0,2}}[:=]")),
+        "quoted": one(c.before.rlike(r"[\"']$")),
+        "digit_share": F.length(d) / F.length(c.m),
+        "only_hex": one(c.m.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")),
+        "case_changes": F.regexp_count(c.m, F.lit("[a-z][A-Z0-9]|[0-9][A-Za-z]")),
         "joined_before": one(c.before.rlike(r"[A-Za-z0-9_/=.\"-]$")),
         "joined_after": one(c.after.rlike(r"^[A-Za-z0-9_/=\"-]")),
     }
@@ -170,13 +178,20 @@ def made_examples(n: int, seed: int = 5) -> list[dict]:
             sep = r.choice([".", "_", "."]) if k == 16 else r.choice(["", " ", "-"])
             before = r.choice(["card ", "visa ", "credit card: ", "amex "]) if good else r.choice(["order ", "tracking ", "isbn ", "serial ", "", "token = "])
             return before, cut(d, sep, (4, 4, 4) if k == 16 else (4, 6) if k == 15 else ())
+        if kind == 4:
+            name, size = r.choice(["token", "api_key", "key", "secret", "password", "client_secret", "Bearer"]), r.choice([16, 20, 24, 32, 36, 40, 64])
+            before = name + (" " if name == "Bearer" else r.choice([" = \"", "=", ": ", ": \"", "='", "\": \""]))
+            if good:
+                letters = r.choice(["0123456789abcdef", "0123456789ABCDEF", "0123456789" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" * 2 + "-_"])
+                return before, r.choice(["", "", "sk-", "ghp_"]) + "".join(r.choice(letters) for _ in range(size))
+            return r.choice([before, name + " "]), r.choice(["-".join(word() for _ in range(3)) + word(), "_".join(word() for _ in range(4)), word() + word() + word() + ".", "".join(word() for _ in range(4)), "=" * size, "-" * size, "/".join(word() for _ in range(4))])
         d = number(10)
         if good:
             return r.choice(["call ", "tel ", "phone: ", "mobile ", "fax "]), r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(d[:3], d[3:6], d[6:])
         return r.choice(["order ", "id ", "ref ", "$", "version ", "account ", ""]), r.choice(["{}{}-{}", "{}-{}-{}", "{} {} {}"]).format(d[:3], d[3:6], d[6:])
 
     for _ in range(n):
-        kind, good = r.randrange(4), r.random() < 0.5
+        kind, good = r.randrange(len(KINDS)), r.random() < 0.5
         before, m = example(kind, good)
         lead, tail = " ".join(word() for _ in range(r.randint(0, 5))), " ".join(word() for _ in range(r.randint(0, 5)))
         out.append({"t": f"{lead} {before}{m} {tail}", "kind": kind, "y": int(good)})
@@ -218,11 +233,8 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[list, float]:
         tree = grow(x[~held], (p - y)[~held], (p * (1 - p))[~held], DEPTH)
         trees.append(tree)
         z += RATE * predicted(tree, x)
-    threshold = float("inf")
-    for t in np.sort(np.unique(z[held]))[::-1]:
-        if y[held][z[held] >= t].mean() < PRECISION:
-            break
-        threshold = float(t)
+    exact = [float(t) for t in np.unique(z[held]) if y[held][z[held] >= t].mean() >= PRECISION]
+    threshold = min(exact, default=float("inf"))
     return trees, max(threshold - 1e-9, 0.0)
 
 
@@ -302,5 +314,6 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    spans = F.concat("base", "added")
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
