@@ -26,12 +26,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import table
+from .common import table, unused
 
 #: The pre-tokenizer's fixed pattern (byte-level BPE); white space is Unicode's property.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces, and pairs of tokens, that a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 NEVER = 1 << 60
 
 
@@ -243,7 +243,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text", packed: str | None
             yield pd.DataFrame(done | ({packed: ids} if packed else {}))
 
     kept = [c for c in df.columns if c not in out]
-    return df.select(*kept, run(F.col(text)).alias("_bpe")).select(*kept, *(F.col(f"_bpe.{c}") for c in out))
+    (made,) = unused(df, "_bpe")
+    return df.select(*kept, run(F.col(text)).alias(made)).select(*kept, *(F.col(f"{made}.{c}") for c in out))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
