@@ -119,7 +119,8 @@ def test_traversal_finds_every_component():
     r = np.random.default_rng(1)
     base = r.integers(-(2**62), 2**62, 80)
     sets = [np.sort(np.unique(np.concatenate((base[: 80 - k], r.integers(-(2**62), 2**62, k))))) for k in r.integers(0, 30, 120)]
-    links = list(sigtree.joined_unit([(2, i, i, s) for i, s in enumerate(sets)]))
+    leaves = [sigtree.Node(None, i, i, len(s), w := sigtree.width_of(len(s)), sigtree.bitmap(s.view(np.uint64), w), s) for i, s in enumerate(sets)]
+    links = list(sigtree.traverse([sigtree.trees(leaves)]))
     root = list(range(120))
     truth = list(range(120))
     for pairs, of in ((links, root), ([(i, j) for i in range(120) for j in range(i) if (c := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - c)], truth)):
@@ -129,6 +130,46 @@ def test_traversal_finds_every_component():
     assert root == truth
 
 
+def test_bitmaps_rule_out_no_pair_that_links():
+    """Of leaves and of inner nodes, of equal and of neighbouring widths."""
+    r = np.random.default_rng(8)
+    sets = []
+    for _ in range(30):
+        base = r.integers(-(2**62), 2**62, int(r.integers(5, 300)))
+        sets += [np.unique(np.concatenate((base[: len(base) - k], r.integers(-(2**62), 2**62, int(r.integers(0, 1 + len(base) // 9)))))) for k in r.integers(0, 1 + len(base) // 9, 6)]
+    leaves = [sigtree.Node(None, i, i, len(s), w := sigtree.width_of(len(s)), sigtree.bitmap(s.view(np.uint64), w), s) for i, s in enumerate(sets)]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sigtree.overlap_links(sets[a], sets[b])]
+    assert links and all(sigtree.may_link(leaves[a], leaves[b]) for a, b in links)
+    by = {w: [x for x in leaves if x.width == w] for w in {x.width for x in leaves}}
+    above = {x.leaf: n for v in by.values() for i in range(0, len(v), 8) for n in [sigtree.Node(v[i : i + 8])] for x in v[i : i + 8]}
+    assert {abs(leaves[a].width - leaves[b].width) for a, b in links} == {0, 1}
+    assert all(sigtree.may_link(above[a], above[b]) for a, b in links)
+
+
+def test_signature_trees_in_small_blocks(spark):
+    """Groups that are cut into many blocks keep every component, and repeated texts are one class."""
+    r = np.random.default_rng(9)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(25):
+            w = list(base)
+            for i in r.integers(0, 60, int(r.integers(0, 4))):
+                w[i] = f"x{r.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    texts += texts[:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if v == high else v for v in root]
+    for block in (4, 4096):
+        assert {r["doc_id"]: r["component_id"] for r in sigtree.link(df, block=block).collect()} == dict(enumerate(root))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.sql("select 500L a, 501L b union all select 9L, 9L"))
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}
@@ -256,7 +297,7 @@ def test_ann_equals_brute_force_where_it_visits_all(spark):
     x[7] = x[8]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0]), (304, []), (305, [None] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(df, F.col("vec_id") % 20 == 0).collect()
+    got = ann.search(df, F.col("vec_id") % 20 == 0, recall=1.0).collect()
     y = x.astype(float)
     for q in range(0, 300, 20):
         s = (y * y[q]).sum(1)
@@ -287,3 +328,157 @@ def test_ann_routes(spark):
         s[q] = -np.inf
         found += len({g["vec_id"] for g in got if g["query_id"] == q} & set(np.argsort(-s)[:20].tolist()))
     assert found / (80 * 20) >= 0.9
+
+
+def test_ann_recall_on_the_embeddings_by_part_of_the_parts(spark):
+    """Queries are the ids divisible by 50; the 0.9 is measured against brute force, with fewer parts visited than there are."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    fitted, parts = ann.index(df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), len(rows), ann.SAMPLE, ann.PART, 11, ann.RECALL)
+    assert parts >= 10 and fitted.visits < parts
+    size = np.bincount(fitted.put(x), minlength=parts)
+    assert size.max() <= 1.5 * size.mean()  # balanced over all rows
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        found += len(got[ids[q]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert found / (20 * len(got)) >= 0.9 and len(got) == (ids % 50 == 0).sum()
+
+
+def test_ann_repeated_rows_count_once(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(90, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [rows[20], rows[20], rows[31], (40, r.normal(size=5).tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, recall=1.0).orderBy("query_id", "rank").collect()
+    assert {q: sum(g["query_id"] == q for g in got) for q in (0, 20, 40, 60, 80)} == {0: 20, 20: 20, 40: 40, 60: 20, 80: 20}  # id 40 has two vectors
+    mine = [g["vec_id"] for g in got if g["query_id"] == 20]
+    every = np.array([v for _, v in rows] + [df.collect()[-1]["embedding"]])
+    ids = np.array([*range(90), 40])
+    score = every @ x[20]
+    score[ids == 20] = -np.inf
+    assert mine == ids[np.lexsort((ids, -score))][:20].tolist()
+
+
+def test_quality_scores_are_the_discriminant(spark):
+    """Every score recomputed from the statistics with numpy."""
+    r = np.random.default_rng(5)
+    texts = [" ".join("".join(r.choice(list("abcde"), int(r.integers(2, 9)))) + ("!!" if i % 3 == 0 and r.random() < 0.4 else "") for _ in range(int(r.integers(5, 80)))) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {g["doc_id"]: g["score"] for g in quality.classify(df, labels).collect()}
+    x = np.array([quality.statistics(t) for t in texts])
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 0]
+    by = {k: x[[i for i in train if int(i % 3 != 0) == k]] for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in by.items()}
+    pooled = sum(len(v) * cov[k] for k, v in by.items()) / len(train)
+    log = {}
+    for k, v in by.items():
+        s = (1 - quality.TO_POOLED) * cov[k] + quality.TO_POOLED * pooled
+        s = (1 - quality.TO_IDENTITY) * s + quality.TO_IDENTITY * np.trace(s) / len(s) * np.eye(len(s))
+        d = x - v.mean(0)
+        log[k] = np.log(len(v) / len(train)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (d * np.linalg.solve(s, d.T).T).sum(1)
+    want = 1 / (1 + np.exp(-(log[1] - log[0])))
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in range(120))
+
+
+def test_rules_are_the_least_determinant(spark):
+    """Distances and verdicts recomputed with numpy: three starts, concentration steps, the least determinant."""
+    r = np.random.default_rng(12)
+    rows = []
+    for i in range(700):
+        n = int(r.integers(55, 160))
+        words = ["".join(r.choice(list("abcdefgh"), int(r.integers(3, 8)))) for _ in range(n)]
+        if i % 20 == 0:  # outliers: symbols or very long words
+            words = [w + "#$%" for w in words] if i % 40 else ["".join(r.choice(list("xyz"), 60)) for _ in words]
+        rows.append((i, " ".join(words), "en" if i < 400 else "de", f"s{i % 2}" if i < 650 else "small"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {g["doc_id"]: g for g in rules.judge(df).collect()}
+    names, floor = list(rules.FLOOR), np.array(list(rules.FLOOR.values()))
+    stats = {g["doc_id"]: g for g in rules.transformed(rules.statistics(df)).collect()}
+    x = np.array([[stats[i][n] for n in names] for i in range(700)])
+    fine = np.array([not stats[i]["base_failed"] for i in range(700)])
+    p = len(names)
+    bin_limit = lambda b, share: np.sort(b)[int(np.ceil(share * len(b))) - 1]
+    squared = lambda x, m, s: ((d := x - m) * np.linalg.solve(s + np.diag(floor**2), d.T).T).sum(1)
+    bins = lambda d: np.floor(rules.BINS * np.log(d + 1e-6))
+
+    def fitted(x):
+        middle = lambda y: np.array([bin_limit(np.floor(rules.FINE * c + 0.5), 0.5) / rules.FINE for c in y.T])
+        mid = middle(x)
+        mad = 1.4826 * middle(np.abs(x - mid))
+        scale = np.sqrt(mad**2 + floor**2)
+        z = (x - mid) / scale
+        u = z / np.sqrt(np.maximum((z**2).sum(1), 1e-12))[:, None]
+        best = None
+        for m, s in ((mid, np.diag(mad**2)), (x.mean(0), np.cov(x.T, bias=True)), (mid, p * (u.T @ u / len(u)) * np.outer(scale, scale))):
+            for _ in range(rules.STEPS):
+                b = bins(squared(x, m, s))
+                near = x[b <= bin_limit(b, rules.H)]
+                m, s = near.mean(0), np.cov(near.T, bias=True)
+            det = np.linalg.slogdet(s + np.diag(floor**2))[1]
+            if best is None or det < best[0] - 1e-9:
+                best = det, m, s
+        _, m, s = best
+        f = rules.chi_squared(rules.H, p) / np.exp((bin_limit(bins(squared(x, m, s)), rules.H) + 1) / rules.BINS)
+        return lambda y: np.sqrt(squared(y, m, s) * f)
+
+    group = np.array([f"{r_[2]}-{r_[3]}" for r_ in rows])
+    for g in set(group):
+        of = (group == g) & fine
+        if of.sum() < rules.SMALL:  # the language's
+            of = np.array([r_[2] == g[:2] for r_ in rows]) & fine
+        measure = fitted(x[of])
+        for i in np.flatnonzero(group == g):
+            d = measure(x[i : i + 1])[0]
+            assert abs(got[i]["distance"] - d) < 1e-6 * (1 + d) and got[i]["kept"] == (bool(fine[i]) and d <= rules.CUT)
+    # the planted outliers are farther away than all others
+    odd = [got[i]["distance"] for i in range(0, 700, 20) if fine[i]]
+    even = [got[i]["distance"] for i in range(700) if i % 20 and fine[i]]
+    assert min(odd) > max(even)
+
+
+def test_clashing_names(spark):
+    """Helper and result names of the operators as columns of the input."""
+    names = ["_id", "_doc", "_gone", "_bpe", "_key", "_words", "_lines", "n_words", "kept", "distance", "_row", "k", "m", "w", "line", "doc", "cid", "lines_removed", "n_tokens", "base", "added", "held_out", "_copy", "_h"]
+    base = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string")
+    df = base.select("*", *(F.lit(7).alias(n) for n in names))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    for got in (linededup.dedup_lines(df), rules.judge(df), bpe.round_trip(df, bpe.vocabulary()), pii.find(df), quality.classify(df, labels), mixing.mix(df), sigtree.link(df), lm.score_documents(df)):
+        assert got.count() == 6 and len(set(got.columns)) == len(got.columns)
+
+
+def test_very_long_texts(spark):
+    """One word of a million letters, a million words, and many matches."""
+    texts = ["x" * 1_000_000, "ab cd " * 500_000, "\n".join(f"line {i} has its own words {i * 7}" for i in range(20_000)), " ".join(f"u{i}@example.com" for i in range(300))]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in sigtree.link(df).collect()}
+    assert [got[i]["n_shingles"] for i in range(3)] == [1, 2, len(shingles(texts[2]))]
+    assert {r["doc_id"]: len(r["lines_removed"]) for r in linededup.dedup_lines(df).collect()}[0] == 0
+    back = bpe.decode(bpe.encode(df, bpe.vocabulary()), bpe.vocabulary())
+    assert back.where("decoded <> text").count() == 0
+    assert {r["doc_id"]: r["n_words"] for r in rules.judge(df).collect()}[1] == 1_000_000
+    assert len(pii.find(df).where("doc_id = 3").first()["base"]) == 300
+    assert lm.score_documents(df).where("score < 0").count() == 4
+
+
+def test_pii_trees_are_the_expressions(spark):
+    """The log odds of the column expression are those of the trees by numpy, and secrets are told from words."""
+    model = pii.fit(spark)
+    assert set(model) == set(range(len(pii.KINDS)))
+    rows = spark.createDataFrame([(r["t"],) for r in pii.made_examples(200, seed=77)], "t string")
+    none = F.expr(f"cast(array() as {pii.SPAN})")
+    found = rows.select(F.explode(pii.candidates(F.col("t"), none)).alias("c"))
+    seen = found.select(F.col("c.kind"), F.array(*(f.cast("double") for f in pii.features(F.col("c")).values())).alias("x"), pii.scored(F.col("c"), model).alias("z")).collect()
+    assert len(seen) > 100
+    for r in seen:
+        trees, threshold = model[r["kind"]]
+        assert abs(r["z"] - (sum(pii.RATE * pii.predicted(t, np.array([r["x"]]))[0] for t in trees) - threshold)) < 1e-9
+    texts = ["Enbe token = \"6d2ca8cc795e02fe1cd4d42fcf2aa51765e4f27c\" and more", "the key = northwesternmost place", "a token of friendship-and-understanding here"]
+    got = [[s["m"] for s in r["added"]] for r in pii.find(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert got == [["6d2ca8cc795e02fe1cd4d42fcf2aa51765e4f27c"], [], []]
