@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import ast
+import re
 import zlib
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-CALL = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.ArrayType(T.StringType()))]))
-
 
 def normalized(x: str | None) -> str:
     return " ".join((x or "").lower().split())
@@ -45,21 +44,6 @@ def compression_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([distance((x or "").encode(), (y or "").encode()) for x, y in zip(a, b)], dtype=float)
 
 
-def calls(text: str | None) -> list[dict]:
-    """Calls f(a=1, ...) that parse, with their arguments as sorted name=value texts. Nothing is run."""
-    try:
-        tree = ast.parse(text or "")
-    except (SyntaxError, ValueError):
-        return []
-    found = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
-    return [{"name": n.func.id, "arguments": sorted(f"{k.arg}={ast.unparse(k.value)}" for k in n.keywords)} for n in found]
-
-
-@F.pandas_udf(CALL)
-def parsed_calls(a: pd.Series) -> pd.Series:
-    return pd.Series([calls(x) for x in a])
-
-
 def parses_one(code: str | None) -> bool:
     try:
         ast.parse(code or "")
@@ -72,3 +56,101 @@ def parses_one(code: str | None) -> bool:
 def parses(codes: pd.Series) -> pd.Series:
     """Whether any of a row's codes is valid Python. Nothing is run."""
     return pd.Series([any(parses_one(c) for c in row) if row is not None else False for row in codes])
+
+
+CALL_TEXT = re.compile(r"([a-zA-Z_][a-zA-Z0-9_]*)\s*\(([^)]*)\)")
+NAMED = re.compile(r"\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*")
+
+
+def canonical(value) -> str | None:
+    """A value as a text that equal values share: texts without quotes and case, floats to 6 places."""
+    if value is None or value == "null":
+        return None
+    if isinstance(value, str):
+        return "s" + value.strip().strip("\"'").lower()
+    if isinstance(value, (bool, int, float)):
+        return "n" + repr(round(float(value), 6))
+    if isinstance(value, (list, tuple)):
+        return "l" + repr([canonical(v) for v in value])
+    if isinstance(value, dict):
+        return "d" + repr(sorted((str(k), canonical(v)) for k, v in value.items()))
+    return "o" + repr(value)
+
+
+def literal(text: str):
+    try:
+        return ast.literal_eval(text)
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return text.strip("\"'")
+
+
+def pieces(text: str):
+    """What commas part at no depth of brackets and outside quotes."""
+    depth, quote, start = 0, "", 0
+    for i, ch in enumerate(text):
+        if ch in "\"'":
+            quote = "" if quote == ch else quote or ch
+        elif not quote and ch in "([{":
+            depth += 1
+        elif not quote and ch in ")]}":
+            depth -= 1
+        elif not quote and not depth and ch == ",":
+            yield text[start:i]
+            start = i + 1
+    yield text[start:]
+
+
+def parameters(text: str) -> dict[str, str | None]:
+    """The parameters of a call, as canonical texts: those of a dict's inside, else name=value until one has no name."""
+    try:
+        whole = ast.literal_eval("{" + text + "}")
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        whole = None
+    if isinstance(whole, dict):
+        return {str(k): canonical(v) for k, v in whole.items()}
+    out = {}
+    for piece in pieces(text):
+        m = NAMED.match(piece)
+        if not m:
+            break
+        out[m.group(1)] = canonical(literal(piece[m.end() :].strip()))
+    return out
+
+
+def called(text: str | None) -> list[dict]:
+    """The calls f(...) of a text, without nested parentheses."""
+    return [{"name": m.group(1), "params": parameters(m.group(2).strip()) if m.group(2).strip() else {}} for m in CALL_TEXT.finditer(text or "")]
+
+
+def call_score(got: list[dict], want: list[dict]) -> tuple[float, float, float, float]:
+    """exact, names, parameters and overall. Calls meet by position if there are as many; else names count, for half."""
+    if not got or not want:
+        same = float(not got and not want)
+        return same, same, same, same
+    if len(got) != len(want):
+        wanted = {w["name"] for w in want}
+        hits = sum(g["name"] in wanted for g in got) / max(len(got), len(want))
+        return 0.0, hits, 0.0, hits / 2
+    names = shares = 0.0
+    exact = True
+    for g, w in zip(got, want):
+        if g["name"] != w["name"]:
+            exact = False
+            continue
+        names += 1
+        if g["params"] == w["params"]:
+            shares += 1
+            continue
+        exact = False
+        if w["params"]:
+            shares += sum(k in g["params"] and g["params"][k] == v for k, v in w["params"].items()) / len(w["params"])
+    names, shares = names / len(want), shares / len(want)
+    return float(exact), names, shares, 0.4 * names + 0.4 * shares + 0.2 * exact
+
+
+SCORES = ("exact", "names", "parameters", "overall")
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in SCORES]))
+def call_scores(got: pd.Series, want: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([call_score(called(g), called(w)) for g, w in zip(got, want)], columns=SCORES)

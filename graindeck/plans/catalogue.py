@@ -374,17 +374,4 @@ def compression_ratio(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", r6(ratio("t")).alias("ratio"))
 
 
-@query("tool_call_match", None)
-def tool_call_match(spark, sf_dir):
-    """Scores of fixed tool calls against an expected one: names, arguments and the 0.4 / 0.4 / 0.2 total."""
-    from ..functions.pyfuncs import parsed_calls
-
-    rows = spark.sql("select * from values (1, 'f(a=1, b=\"x\")', 'f(a=1, b=\"x\")'), (2, 'f(a=2, b=\"x\")', 'f(a=1, b=\"x\")'), (3, 'g(a=1)', 'f(a=1)'), (4, 'none', 'f(a=1)') as t(id, got, want)")
-    df = rows.select("id", parsed_calls("got").alias("g"), parsed_calls("want").alias("w"))
-    names = F.size(F.array_intersect(F.transform("g", lambda c: c["name"]), F.transform("w", lambda c: c["name"]))) / F.size("w")
-    hits = F.size(F.array_intersect(F.flatten(F.transform("g", lambda c: c["arguments"])), F.flatten(F.transform("w", lambda c: c["arguments"])))) / F.size(F.flatten(F.transform("w", lambda c: c["arguments"])))
-    exact = F.when(F.col("g") == F.col("w"), 1.0).otherwise(0.0)
-    return df.select("id", r6(names).alias("names"), r6(hits).alias("arguments"), r6(0.4 * names + 0.4 * hits + 0.2 * exact).alias("overall"))
-
-
 from . import typed  # noqa: E402, F401  its queries register themselves

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..functions.text import thinking
-from ..operators import routing, typed
+from ..operators import calls, routing, typed
 from .catalogue import STRIP, TOK, query, r6, s_, t_
 from .samples import SQL as SAMPLES, samples
 
@@ -205,3 +205,33 @@ def score_tool_call(spark, sf_dir):
 def type_dispatch_score(spark, sf_dir):
     """Each sample by the scorer of its type; the code type needs a syntax check, which SQL lacks."""
     return scored(spark, sf_dir, "by_type").select("sample_id", routing.normalized_type(C("type")).alias("kind"), r6("by_type").alias("score"))
+
+
+# ---- plain function calls
+DIRTY = r"(contains(lower(c), '<think>') or contains(lower(c), '</think>') or contains(lower(c), '\boxed{'))"
+FOUND = r"""[struct_pack(name := regexp_extract(x, '^([a-zA-Z_][a-zA-Z0-9_]*)', 1), params := [struct_pack(k := regexp_extract(y, '^([a-zA-Z_]\w*)', 1), v := lower(trim(regexp_extract(y, '(?s)=(.*)$', 1), ' "' || chr(39) || chr(10) || chr(9)))) for y in regexp_extract_all(regexp_extract(x, '(?s)\((.*)\)$', 1), '[a-zA-Z_]\w*\s*=\s*(?:"[^"]*"|[^,]*)')]) for x in regexp_extract_all({0}, '(?s)[a-zA-Z_][a-zA-Z0-9_]*\s*\([^)]*\)')]"""
+SPACED = r"regexp_replace(lower({0}), '\s+', ' ', 'g')"
+CALLS = f"""{SAMPLES}, q as (select *, {FOUND.format('c')} g, {FOUND.format('a')} w, {DIRTY} dirty from s),
+u as (select *, list_distinct([x.name for x in g]) gn, list_distinct([x.name for x in w]) wn from q),
+z as (select *, [struct_pack(f := (g[j].name = w[j].name)::int, e := (g[j].name = w[j].name and len(g[j].params) = len(w[j].params) and len(list_filter(w[j].params, lambda q: list_contains(g[j].params, q))) = len(w[j].params))::int,
+  p := case when g[j].name <> w[j].name then 0.0 when len(w[j].params) = 0 then (len(g[j].params) = 0)::int::double else len(list_filter(w[j].params, lambda q: list_contains(g[j].params, q))) / len(w[j].params) end) for j in range(1, least(len(g), len(w)) + 1)] m from u),
+y as (select *, (len(list_filter(m, lambda x: x.e = 1)) = len(w))::int e, list_sum([x.f for x in m]) / len(w) f, list_sum([x.p for x in m]) / len(w) p2, len(list_filter(g, lambda x: list_contains(wn, x.name))) / greatest(len(g), len(w)) hits from z)"""
+
+
+def clean(score: str) -> str:
+    return f"round((case when dirty then 0 else {score} end)::double, 6)"
+
+
+def by_count(equal: str, unequal: str) -> str:
+    return f"case when len(g) = 0 and len(w) = 0 then 1 when len(g) = 0 or len(w) = 0 then 0 when len(g) <> len(w) then {unequal} else {equal} end"
+
+
+@query("tool_call_match", f"with {CALLS} select sample_id, {clean('(' + SPACED.format(s_('c')) + ' = ' + SPACED.format(s_('a')) + ')::int')} tool_call_exact, {clean('case when len(wn) = 0 then (len(gn) = 0)::int else len(list_intersect(gn, wn)) / len(wn) end')} tool_call_function, {clean(by_count('p2', '0'))} tool_call_params, {clean(by_count('0.4 * f + 0.4 * p2 + 0.2 * e', '0.5 * hits'))} tool_call_overall, {clean('(len(g) > 0)::int')} tool_call_parseable from y")
+def tool_call_match(spark, sf_dir):
+    names = ["tool_call_exact", "tool_call_function", "tool_call_params", "tool_call_overall", "tool_call_parseable"]
+    return registry.score(samples(spark, sf_dir), names).select("sample_id", *(r6(n).alias(n) for n in names))
+
+
+@query("tool_call_contamination", f"with {SAMPLES} select {DIRTY} dirty, count(*) n from s group by 1")
+def tool_call_contamination(spark, sf_dir):
+    return samples(spark, sf_dir).groupBy(calls.contaminated(C("completion")).alias("dirty")).agg(F.count(F.lit(1)).alias("n"))
