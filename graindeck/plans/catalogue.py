@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import registry, text as tx
+from ..functions import registry, structure as st, text as tx
 from ..operators import advantage as adv, monitor as mon, policy as pol, sampling as smp, scoring
 from .rollouts import SQL as ROLLOUTS, rollouts, table
 
@@ -189,39 +189,23 @@ def ngram_repetition(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", r6(tx.let(tx.tok(F.col("t")), lambda w: tx.ngram_repetition(w, 3))).alias("repetition"))
 
 
-def exploded(spark, sf_dir) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(tx.tok(F.col("t"))).alias("i", "w"))
-
-
 @query("word_entropy", f"with {DOCS}, x as (select doc_id, unnest(w) w from k), c as (select doc_id, w, count(*) n from x group by all), e as (select doc_id, sum(n) total, count(*) vocabulary, sum(n * log2(n)) s from c group by 1) select doc_id, round(log2(total) - s / total, 6) entropy, vocabulary, round(case when vocabulary > 1 then (log2(total) - s / total) / log2(vocabulary) else 0 end, 6) density from e")
 def word_entropy(spark, sf_dir):
-    c = exploded(spark, sf_dir).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    e = c.groupBy("doc_id").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("vocabulary"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    h = F.log2("total") - F.col("s") / F.col("total")
-    return e.select("doc_id", r6(h).alias("entropy"), "vocabulary", r6(F.when(F.col("vocabulary") > 1, h / F.log2("vocabulary")).otherwise(0.0)).alias("density"))
+    """A row's words are sorted and folded in place: no shuffle."""
+    m = tx.let(tx.tok(F.col("t")), lambda w: F.struct(st.entropy_of(w).alias("h"), F.size(F.array_distinct(w)).cast("long").alias("v"), F.size(w).alias("n")))
+    e = docs(spark, sf_dir).select("doc_id", m.alias("m")).where("m.n > 0")
+    return e.select("doc_id", r6("m.h").alias("entropy"), F.col("m.v").alias("vocabulary"), r6(F.when(F.col("m.v") > 1, F.col("m.h") / F.log2("m.v")).otherwise(0.0)).alias("density"))
 
 
 @query("char_entropy", "with x as (select doc_id, unnest(string_split(coalesce(text, ''), '')) ch from documents where coalesce(text, '') <> ''), c as (select doc_id, ch, count(*) n from x group by all), e as (select doc_id, sum(n) total, sum(n * log2(n)) s from c group by 1) select doc_id, round(log2(total) - s / total, 6) entropy from e")
 def char_entropy(spark, sf_dir):
-    c = docs(spark, sf_dir).where("t <> ''").select("doc_id", F.explode(F.split("t", "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count(F.lit(1)).alias("n"))
-    e = c.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return e.select("doc_id", r6(F.log2("total") - F.col("s") / F.col("total")).alias("entropy"))
+    return docs(spark, sf_dir).where("t <> ''").select("doc_id", r6(tx.let(st.characters(F.col("t")), st.entropy_of)).alias("entropy"))
 
 
 @query("info_gain_per_token", f"with {DOCS}, x as (select doc_id, w, generate_subscripts(w, 1) i from k), y as (select doc_id, w[i] w, i - 1 i from x), z as (select doc_id, i, row_number() over (partition by doc_id, w order by i) - 1 seen from y) select doc_id, round(sum(case when seen = 0 then log2(i + 1) else log2(i::double / seen) end) / count(*), 5) gain from z where i > 0 group by 1")
 def info_gain_per_token(spark, sf_dir):
-    seen = F.row_number().over(Window.partitionBy("doc_id", "w").orderBy("i")) - 1
-    z = exploded(spark, sf_dir).withColumn("seen", seen).where("i > 0")
-    bits = F.when(F.col("seen") == 0, F.log2(F.col("i") + 1)).otherwise(F.log2(F.col("i") / F.nullif("seen", F.lit(0))))
-    return z.groupBy("doc_id").agg(F.round(F.sum(bits) / F.count(F.lit(1)), 5).alias("gain"))
-
-
-@query("clone_detection", rf"with s as (select doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[.!?]+')) s from documents), t as (select doc_id, {s_('s')} s from s), c as (select doc_id, s, count(*) n from t where length(s) >= 20 group by all having count(*) > 1), k as (select *, row_number() over (partition by doc_id order by length(s) * (n - 1) desc, s) rn from c) select doc_id, s sentence, n, length(s) * (n - 1) wasted from k where rn <= 10")
-def clone_detection(spark, sf_dir):
-    s = docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.lower("t"), "[.!?]+")).alias("s")).select("doc_id", tx.strip(F.col("s")).alias("sentence"))
-    c = s.where(F.length("sentence") >= 20).groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("wasted", F.length("sentence") * (F.col("n") - 1))
-    rn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("wasted"), "sentence"))
-    return c.withColumn("rn", rn).where("rn <= 10").drop("rn")  # the ten largest are the report
+    d = docs(spark, sf_dir).where(F.size(tx.tok(F.col("t"))) > 1)
+    return d.select("doc_id", F.round(st.gain_per_token(F.col("t")), 5).alias("gain"))
 
 
 @query("jaccard_neighbours", r"with x as (select turn, conv_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\w\p{L}\p{M}\p{N}]+')) w, lead(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\w\p{L}\p{M}\p{N}]+'))) over (partition by conv_id order by turn) v from conversations) select conv_id, turn, round(case when len(w) = 0 or len(v) = 0 then 0 else len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))) end::double, 6) jaccard from x where v is not null")
@@ -374,4 +358,4 @@ def compression_ratio(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", r6(ratio("t")).alias("ratio"))
 
 
-from . import typed  # noqa: E402, F401  its queries register themselves
+from . import features, typed  # noqa: E402, F401  their queries register themselves
