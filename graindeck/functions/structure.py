@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import let, ngrams, strip, tok
+from .text import let, ngrams, over_runs, strip, tok
 
 # The patterns and word lists that the measures are defined by.
 STEP_MARKS = (r"\b(?:step\s+)?(\d+)[.):]\s", r"\b(first|second|third|fourth|fifth|finally|lastly)\b")
@@ -192,14 +192,7 @@ def phrase_repetition(x: Column, least: int = 4, most: int = 10) -> Column:
 def entropy_of(items: Column) -> Column:
     """Shannon entropy in bits of an array's items: sorted, then folded run by run."""
     n = F.size(items)
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
-    closed = lambda a: a.s + F.when(a.n > 0, a.n * F.log2(a.n)).otherwise(0.0)
-
-    def step(a, x):
-        same = a.last.eqNullSafe(x)
-        return F.struct(x.alias("last"), F.when(same, a.n + 1.0).otherwise(1.0).alias("n"), F.when(same, a.s).otherwise(closed(a)).alias("s"))
-
-    return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - F.aggregate(F.array_sort(items), start, step, closed) / n)
+    return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - over_runs(items, lambda k: k * F.log2(k.cast("double"))) / n)
 
 
 def characters(x: Column) -> Column:

@@ -78,15 +78,16 @@ def token_estimate(x: Column) -> Column:
     return ((F.length(x) / 4.0 + F.size(tok(x)) * 1.3) / 2).cast("int")
 
 
-def run_lengths(items: Column) -> Column:
-    """How often each distinct item occurs, by sorting: linear in the row after that."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+def over_runs(items: Column, value) -> Column:
+    """The sum of value(n), n being how often an item occurs, over an array's distinct items: sorted, then folded run by run."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    closed = lambda a: a.s + F.when(a.n > 0, value(a.n)).otherwise(0.0)
 
     def step(a, x):
         same = a.last.eqNullSafe(x)
-        return F.struct(x.alias("last"), F.when(same, a.n + 1).otherwise(1).alias("n"), F.when(same | a.last.isNull(), a.out).otherwise(F.concat(a.out, F.array(a.n))).alias("out"))
+        return F.struct(x.alias("last"), F.when(same, a.n + 1).otherwise(1).alias("n"), F.when(same, a.s).otherwise(closed(a)).alias("s"))
 
-    return F.aggregate(F.array_sort(items), start, step, lambda a: F.when(a.n > 0, F.concat(a.out, F.array(a.n))).otherwise(a.out))
+    return F.aggregate(F.array_sort(items), start, step, closed)
 
 
 def vowel_share(x: Column) -> Column:
