@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,8 +38,11 @@ def fold_of(key: Column, folds: int = 5) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where it is unset, one of this process."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only where driver and executors are one process, as in
+    tests, may it be unset: then it is a temporary folder of this process."""
     if not (root := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not (root := getattr(spark.sparkContext, "_graindeck_scratch", None)):
             root = tempfile.mkdtemp(prefix="graindeck-")
             atexit.register(shutil.rmtree, root, ignore_errors=True)
