@@ -28,9 +28,10 @@ def advantages(df: DataFrame, group: str, reward: str = "reward") -> DataFrame:
 
 
 def function_stats(df: DataFrame, scores: list[str]) -> DataFrame:
-    """For each score: mean, population deviation and the share of rows that have it, in one pass."""
-    one = F.explode(F.array(*(F.struct(F.lit(s).alias("scorer"), F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")).alias("v")) for s in scores))).alias("x")
-    return df.select(one).groupBy("x.scorer").agg(F.avg("x.v").alias("mean"), F.coalesce(F.stddev_pop("x.v"), F.lit(0.0)).alias("std"), (F.count("x.v") / F.count(F.lit(1))).alias("coverage"))
+    """For each score: mean, population deviation and the share of rows that have it, in one pass over unmultiplied rows."""
+    value = lambda s: F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double"))
+    made = [F.struct(F.lit(s).alias("scorer"), F.avg(value(s)).alias("mean"), F.coalesce(F.stddev_pop(value(s)), F.lit(0.0)).alias("std"), (F.count(value(s)) / F.count(F.lit(1))).alias("coverage")) for s in scores]
+    return df.agg(F.array(*made).alias("all")).select(F.explode("all").alias("r")).select("r.*").where("coverage is not null")
 
 
 def group_stats(df: DataFrame, group: str, reward: str = "reward") -> DataFrame:
