@@ -27,10 +27,57 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([match_ratio(normalized(x), normalized(y)) for x, y in zip(a, b)], dtype=float)
 
 
+def close_number(x: str) -> float | None:
+    """A number with thousands' commas, a decimal comma, a percentage, a fraction, or the first one in a text."""
+    s = re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", x.strip())
+    share = 0.01 if s.endswith("%") else 1.0
+    s = s[:-1].strip() if share < 1 else s
+    tries = [s, s.replace(",", ".") if s.count(",") == 1 else s]
+    for t in tries:
+        try:
+            return float(t) * share
+        except ValueError:
+            pass
+    if m := re.fullmatch(r"\s*(-?[\d.]+)\s*/\s*(-?[\d.]+)\s*", s):
+        try:
+            return float(m.group(1)) / float(m.group(2))
+        except (ValueError, ZeroDivisionError):
+            pass
+    m = re.search(r"-?\d+\.?\d*", s)
+    return float(m.group()) * share if m else None
+
+
+def likeness(a: str | None, b: str | None) -> float:
+    """1 for equal texts, 0.9 and more for one within the other, by bands for near numbers, else the share of matching blocks."""
+    x, y = normalized(a), normalized(b)
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    if y in x or x in y:
+        return 0.9 + 0.1 * min(len(x), len(y)) / max(len(x), len(y))
+    p, q = close_number(x), close_number(y)
+    if p is not None and q is not None:
+        if p == q:
+            return 1.0
+        if q:
+            error = abs(p - q) / max(abs(p), abs(q))
+            for limit, score in ((0.001, 0.99), (0.01, 0.95), (0.05, 0.85)):
+                if error < limit:
+                    return score
+    return match_ratio(x, y)
+
+
+@F.pandas_udf(T.DoubleType())
+def fuzzy_match(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def compression_ratio(a: pd.Series) -> pd.Series:
+    """Compressed bytes over bytes; 1 for no text."""
     raw = [(x or "").encode() for x in a]
-    return pd.Series([len(zlib.compress(x, 9)) / len(x) if x else 0.0 for x in raw], dtype=float)
+    return pd.Series([len(zlib.compress(x, 9)) / len(x) if x else 1.0 for x in raw], dtype=float)
 
 
 def distance(a: bytes, b: bytes) -> float:
@@ -41,7 +88,13 @@ def distance(a: bytes, b: bytes) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def compression_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance((x or "").encode(), (y or "").encode()) for x, y in zip(a, b)], dtype=float)
+    """1 if either text is empty."""
+    return pd.Series([distance(x.encode(), y.encode()) if x and y else 1.0 for x, y in zip(a, b)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity_by_compression(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([1.0 - distance(x.encode(), y.encode()) if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
 
 
 def parses_one(code: str | None) -> bool:
