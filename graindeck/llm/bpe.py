@@ -12,6 +12,8 @@ tokens. Other columns pass through; columns with the names of the results are re
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import json
@@ -33,6 +35,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 #: Pieces, and pairs of tokens, that a Python worker remembers before it starts anew.
 REMEMBERED = 200_000
 NEVER = 1 << 60
+#: Texts whose results a worker holds at once.
+ROWS = 1000
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,24 +83,26 @@ class Tokenizer(dict):
         np.cumsum([len(b) for b in by_id], out=self.offset[1:])
         self.pattern = regex.compile(PRETOKEN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ends = [self._edge(i, 1) for i in range(count)]
-        self.starts = [self._edge(i, 0) for i in range(count)]
+        self.edges: dict[int, list[tuple[int, int]]] = {}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
         self.inner_space = re.compile(r" (?=\s|\Z)").search
         self.starts_anew = re.compile(r"(?= \S)")
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The pieces at one end of a token as merging builds it: each with the rank of the merge that takes it up."""
+        """The pieces at one end (0 or 1) of a token as merging builds it: each with the rank of the merge that takes it up."""
+        if (made := self.edges.get(2 * token + side)) is not None:
+            return made
         steps, taken = [(token, NEVER)], token
         while taken in self.halves:
             steps.append((self.halves[taken][side], self.made[taken]))
             taken = self.halves[taken][side]
+        self.edges[2 * token + side] = steps[::-1]
         return steps[::-1]
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether no merge ever joins the end of left to the start of right: both edges are replayed by rank."""
-        a, b, i, j, rank = self.ends[left], self.starts[right], 0, 0, self.rank
+        a, b, i, j, rank = self._edge(left, 1), self._edge(right, 0), 0, 0, self.rank
         while True:
             (x, x_goes), (y, y_goes) = a[i], b[j]
             across = rank.get((x, y), NEVER)
@@ -196,7 +202,10 @@ class Tokenizer(dict):
 def tokenizer(path: str) -> Tokenizer:
     assert sys.byteorder == "little" and array("I").itemsize == 4
     made = Tokenizer(path)
-    gc.freeze()  # its tables live as long as the worker
+    gc.collect()
+    gc.freeze()  # its tables live as long as the worker; what reading the file took goes back
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
     return made
 
 
@@ -233,7 +242,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", packed: str | None
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (f", {packed} binary" if packed else ""))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
-        for s in batches:
+        for s in (b.iloc[i : i + ROWS] for b in batches for i in range(0, max(1, len(b)), ROWS)):  # few results at a time
             ids = [t.encode(x or "") for x in s]
             done = {
                 "n_tokens": np.array([len(x) // 4 for x in ids], np.int64),
