@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 import zlib
 from difflib import SequenceMatcher
@@ -207,3 +208,84 @@ SCORES = ("exact", "names", "parameters", "overall")
 @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in SCORES]))
 def call_scores(got: pd.Series, want: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([call_score(called(g), called(w)) for g, w in zip(got, want)], columns=SCORES)
+
+
+WHOLE_CALL = re.compile(r"(\w+)\((.*)\)$", re.DOTALL)
+
+
+def plain_arguments(text: str) -> dict:
+    """The parameters of a call by name, as values."""
+    out = {}
+    for piece in pieces(text):
+        if m := NAMED.match(piece):
+            out[m.group(1)] = literal(piece[m.end() :].strip())
+    return out
+
+
+def tagged(call: dict) -> str:
+    return f"<tool_call>\n{json.dumps(call, default=str)}\n</tool_call>"
+
+
+def hermes(answer: str | None) -> str | None:
+    """An answer's lines that are calls, as JSON or as f(a=1), in tags; other lines stay."""
+    if answer is None or "<tool_call>" in answer:
+        return answer
+    out = []
+    for line in filter(None, map(str.strip, answer.strip().split("\n"))):
+        try:
+            found = json.loads(line) if line.startswith("{") else None
+        except ValueError:
+            found = None
+        if isinstance(found, dict) and "name" in found:
+            arguments = found.get("arguments", {})
+            if isinstance(arguments, str):
+                try:
+                    arguments = json.loads(arguments)
+                except ValueError:
+                    pass
+            out.append(tagged({"name": found["name"], "arguments": arguments}))
+        elif m := WHOLE_CALL.match(line):
+            out.append(tagged({"name": m.group(1), "arguments": plain_arguments(m.group(2).strip())}))
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def to_hermes(a: pd.Series) -> pd.Series:
+    return pd.Series([hermes(x) for x in a], dtype=object)
+
+
+# JSON schema types of parameter types.
+JSON_TYPES = {"str": "string", "string": "string", "int": "integer", "integer": "integer", "float": "number", "number": "number", "bool": "boolean", "boolean": "boolean", "list": "array", "array": "array", "dict": "object", "object": "object"}
+
+
+def json_type(kind: str) -> str:
+    """string for a type without a JSON one; what follows a comma, as in "int, optional", doesn't count."""
+    return JSON_TYPES.get(kind.split(",")[0].strip().lower(), "string")
+
+
+def tool_schema(tool: str | None) -> str | None:
+    """A tool's simple definition as the JSON of a function schema; parameters without a default are required. Null for no object."""
+    try:
+        given = json.loads(tool or "")
+    except ValueError:
+        return None
+    if not isinstance(given, dict):
+        return None
+    properties, required = {}, []
+    for name, info in (given.get("parameters") or {}).items():
+        if not isinstance(info, dict):
+            properties[name] = {"type": json_type(str(info))}
+            required.append(name)
+            continue
+        properties[name] = {"type": json_type(str(info.get("type", "string"))), "description": info.get("description", "")} | {k: info[k] for k in ("enum", "default") if k in info}
+        if info.get("default", "") == "":
+            required.append(name)
+    parameters = {"type": "object", "properties": properties} | ({"required": required} if required else {})
+    return json.dumps({"type": "function", "function": {"name": given.get("name", "unknown"), "description": given.get("description", ""), "parameters": parameters}})
+
+
+@F.pandas_udf(T.StringType())
+def to_tool_schema(a: pd.Series) -> pd.Series:
+    return pd.Series([tool_schema(x) for x in a], dtype=object)

@@ -22,7 +22,7 @@ DOUBTS = ("i think", "i believe", "maybe", "i'm not sure", "confused", "stuck")
 CODE_BLOCK = r"(?s)```(?:python|py)?\s*\n(.*?)```"
 CODE_TALK = ("approach", "algorithm", "iterate", "loop", "recursive", "edge case", "complexity", "return", "input", "output")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-LATEX = (("\\,", ""), ("\;", ""), ("\\cdot", "*"), ("\\times", "*"), ("\\div", "/"), ("\\pi", "pi"), ("$", ""), ("\\{", ""), ("\\}", ""))
+LATEX = (("\\,", ""), ("\\;", ""), ("\\cdot", "*"), ("\\times", "*"), ("\\div", "/"), ("\\pi", "pi"), ("$", ""), ("\\{", ""), ("\\}", ""))
 WEIGHTS = {"math": (0.5, 0.25, 0.25), "mcq": (0.5, 0.25, 0.25), "python": (0.4, 0.3, 0.3)}
 
 

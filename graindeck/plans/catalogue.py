@@ -358,4 +358,4 @@ def compression_ratio(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", r6(ratio("t")).alias("ratio"))
 
 
-from . import exams, features, legacy, levels, typed  # noqa: E402, F401  their queries register themselves
+from . import exams, features, legacy, levels, reports, typed  # noqa: E402, F401  their queries register themselves

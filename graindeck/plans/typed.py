@@ -68,7 +68,8 @@ def loader_reject_stats(spark, sf_dir):
     return samples(spark, sf_dir).select(one.alias("r")).groupBy("r.type", "r.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-WORKED = rf"case when regexp_matches(a, '####\s*.') then replace({s_(chr(39).join(['regexp_extract(a, ', '(?m)####\s*(.+)$', ', 1)']))}, ',', '') else {s_('a')} end"
+WORKED_TAIL = "regexp_extract(a, '(?m)####" + chr(92) + "s*(.+)$', 1)"
+WORKED = rf"case when regexp_matches(a, '####\s*.') then replace({s_(WORKED_TAIL)}, ',', '') else {s_('a')} end"
 HERMES_NAMES = r"list_filter([json_extract_string(x, '$.name') for x in regexp_extract_all(a, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1)], lambda y: y is not null and y <> '')"
 LEGACY_NAMES = rf"regexp_extract_all({ascii_words('a')}, '\b([a-zA-Z_]\w*)\s*\(', 1)"
 

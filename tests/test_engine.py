@@ -93,3 +93,80 @@ def test_stateful_stops_equal_the_batch_form(spark, tmp_path):
 def test_run_lengths(spark):
     got = spark.range(1).select(tx.run_lengths(F.array(*map(F.lit, "abaac"))).alias("n")).first()["n"]
     assert sorted(got) == [1, 1, 3]
+
+
+def test_slices_and_caches(spark, tmp_path):
+    from graindeck.sources import loader
+
+    assert loader.slice_bounds("train[:80%]", 10) == ("train", 0, 8) and loader.slice_bounds("train[-10%:]", 10) == ("train", 9, 10) and loader.slice_bounds("valid", 7) == ("valid", 0, 7)
+    df = spark.range(10)
+    assert [r["id"] for r in loader.sliced(df, "train[2:5]", [F.col("id")]).orderBy("id").collect()] == [2, 3, 4]
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "train.jsonl").write_text('{"prompt": "p", "answer": "a"}\nbroken\n\n{"prompt": "q"}\n')
+    splits = loader.read_splits(spark, str(src))
+    assert {k: v.count() for k, v in splits.items()} == {"train": 1, "valid": 0, "test": 0}
+    cache = loader.Cache(spark, str(tmp_path / "cache"))
+    assert cache.load(str(src), {"a": 1}) is None
+    cache.save(splits["train"], str(src), {"a": 1})
+    assert cache.load(str(src), {"a": 1}).count() == 1 and cache.load(str(src), {"a": 2}) is None
+    (src / "train.jsonl").write_text('{"prompt": "p", "answer": "other"}\n')
+    assert cache.load(str(src), {"a": 1}) is None
+    cache.invalidate()
+    assert cache.load(str(src), {"a": 1}) is None
+
+
+def test_loading_with_hooks_and_logs(spark, tmp_path):
+    from graindeck.operators import routing
+    from graindeck.sources import loader
+
+    df = spark.createDataFrame([("what is x = 2", "2", None), ("hi", "y", "math"), (None, "3", None)], "prompt string, answer string, type string")
+    reason = routing.invalid_reasons(F.col("prompt"), F.col("answer"), F.col("type"))["math"]
+    hooks = loader.Hooks(before=[lambda d: d.withColumn("seen", F.lit(True))], after=[lambda d: d.withColumn("late", F.lit(1))])
+    good, bad, counts = loader.loaded(df, reason, {"answer": routing.worked_answer(F.col("answer"))}, hooks, seed=3)
+    assert good.count() == 2 and set(good.columns) == {"prompt", "answer", "type", "seen", "late"} and {r["reason"]: r["n"] for r in counts.collect()} == {"accepted": 2, "no prompt": 1} and bad.count() == 1
+    assert {r["ground_truth"] for r in loader.tool_samples(spark.createDataFrame([("a", ""), ("b", "c")], "answer string, ground_truth string").withColumn("type", F.lit(None).cast("string"))).collect()} == {"a", "c"}
+    rows = spark.createDataFrame([(1, "kl", 0.5), (1, "loss", 1.5), (2, "kl", 0.25)], "iteration int, name string, value double")
+    loader.log_rollouts(rows, str(tmp_path / "log"), every=2)
+    assert spark.read.json(str(tmp_path / "log")).count() == 1
+    loader.log_iterations(rows, str(tmp_path / "csv"), ["iteration"], "name", "value")
+    got = spark.read.option("header", True).csv(str(tmp_path / "csv")).orderBy("iteration").collect()
+    assert [(r["iteration"], r["kl"], r["loss"]) for r in got] == [("1", "0.5", "1.5"), ("2", "0.25", None)]
+    assert loader.config_hash({"a": 1, "b": 2}, ("a",)) == loader.config_hash({"a": 1}) != loader.config_hash({"a": 2})
+
+
+def test_calls_schemas_and_conversion():
+    from graindeck.functions import pyfuncs as pf
+
+    assert pf.parameters('n=5, name="Test", l=[1, 2], d={"k": 1}, f=1.0') == {"n": "n5.0", "name": "stest", "l": "l['n1.0', 'n2.0']", "d": "d[('k', 'n1.0')]", "f": "n1.0"}
+    assert pf.call_score(pf.called("f(a=1, b=2)"), pf.called("f(a=1, b=3)")) == (0.0, 1.0, 0.5, 0.6000000000000001)
+    assert pf.call_score([], []) == (1.0,) * 4 and pf.call_score(pf.called("g(1)"), []) == (0.0,) * 4
+    assert pf.call_score(pf.called("f(1)\ng(2)"), pf.called("f(1)")) == (0.0, 0.5, 0.0, 0.25)
+    assert pf.hermes("f(a=1, b=\"x\")\nnot a call") == '<tool_call>\n{"name": "f", "arguments": {"a": 1, "b": "x"}}\n</tool_call>\nnot a call'
+    assert pf.hermes('{"name": "f", "arguments": "{\\"a\\": 1}"}') == '<tool_call>\n{"name": "f", "arguments": {"a": 1}}\n</tool_call>'
+    made = json.loads(pf.tool_schema('{"name": "f", "parameters": {"a": {"type": "int, optional", "default": 3}, "b": {"type": "list"}, "c": "bool"}}'))
+    assert made["function"]["parameters"]["required"] == ["b", "c"] and made["function"]["parameters"]["properties"]["a"]["type"] == "integer"
+    assert pf.tool_schema("no json") is None and pf.likeness("50%", "0.5") == 1.0 and pf.likeness("abc", "") == 0.0
+
+
+def test_boxes_nest_and_exam_answers_are_found(spark):
+    from graindeck.operators import exam
+
+    cases = [("\\boxed{a^{b^{c}}}", "a^{b^{c}}"), ("\\BOXED{ }", None), ("none", None), ("x \\boxed{open", None), ("\\boxed{B} \\boxed{C}", "B")]
+    df = spark.createDataFrame(cases, "c string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", exam.boxed(F.col("c")).alias("got")).collect())
+    scored = [("<think>b</think>The answer is B", "B", 1.0), ("answer: A and C", "AC", 1.0), ("answer: A and C", "AB", 0.5), ("**D**", "D", 1.0), ("<think>open", "A", 0.0), ("answer: 42", "42", 1.0), ("options A, B", "AB", 1.0)]
+    got = spark.createDataFrame(scored, "c string, a string, want double").select("want", exam.accuracy(F.col("c"), F.col("a")).alias("got")).collect()
+    assert all(abs(r["got"] - r["want"]) < 1e-9 for r in got), got
+    any_of = spark.createDataFrame([("\\boxed{0.5}", ["1/2", "x"], 1.0), ("\\boxed{3}", [], 0.5), ("\\boxed{3}", ["4"], 0.0)], "c string, p array<string>, want double")
+    assert all(r["got"] == r["want"] for r in any_of.select("want", exam.accuracy_of_any(F.col("c"), F.col("p")).alias("got")).collect())
+
+
+def test_hierarchical_scores_rank_as_they_should(spark):
+    from graindeck.operators import hierarchical as hi
+
+    think = "First, let me analyze this. Because we know the train covers 120 km in 2 hours, its speed is the distance over the time. Therefore the speed is 60 km per hour, since 120 divided by 2 is 60."
+    rows = [(0, f"<think>{think}</think>\nThe answer is 60.", "60"), (1, f"<think>{think}</think>\nThe answer is 75.", "60"), (2, "spam " * 200, "60"), (3, "", "60"), (4, None, None)]
+    got = {r["i"]: r for r in hi.hierarchical(spark.createDataFrame(rows, "i int, completion string, answer string")).collect()}
+    assert all(0.02 <= r["hierarchical"] <= 0.95 and 0 <= r["penalty"] <= 0.5 for r in got.values())
+    assert got[0]["hierarchical"] > got[1]["hierarchical"] > got[2]["hierarchical"] >= got[3]["hierarchical"] and got[2]["penalty"] > 0.3
