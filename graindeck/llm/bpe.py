@@ -89,6 +89,13 @@ class Tokenizer(dict):
         self.inner_space = re.compile(r" (?=\s|\Z)").search
         self.starts_anew = re.compile(r"(?= \S)")
 
+    def forget(self) -> None:
+        """Gives back what was remembered of a task's texts: a worker outlives its task, and waits with all it holds."""
+        self.clear()
+        self.known.clear()
+        self.pairs.clear()
+        given_back()
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces at one end (0 or 1) of a token as merging builds it: each with the rank of the merge that takes it up."""
         if (made := self.edges.get(2 * token + side)) is not None:
@@ -204,9 +211,14 @@ def tokenizer(path: str) -> Tokenizer:
     made = Tokenizer(path)
     gc.collect()
     gc.freeze()  # its tables live as long as the worker; what reading the file took goes back
+    given_back()
+    return made
+
+
+def given_back() -> None:
+    """Returns freed memory to the system, where its library can."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
-    return made
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -250,6 +262,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", packed: str | None
                 "decoded_sha256": [hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids],
             }
             yield pd.DataFrame(done | ({packed: ids} if packed else {}))
+        t.forget()
 
     kept = [c for c in df.columns if c not in out]
     (made,) = unused(df, "_bpe")
