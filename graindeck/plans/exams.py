@@ -72,7 +72,7 @@ f2 as (select *, instr(low, '\\boxed{{') bp, case when len(th) > 0 then {s_('th[
 f3 as (select *, coalesce(lt, '') l2, len({TOK.format("coalesce(lt, '')")}) nt, len({t_(TAIL)}) na from f2),
 f4 as (select *, case when contains(low, '<think>') and contains(low, '</think>') then case when bp = 0 or length(low) - instr(reverse(low), reverse('</think>')) - 6 <= bp then 1.0 else 0.7 end
    when contains(low, '<thinking>') and contains(low, '</thinking>') then case when bp = 0 or length(low) - instr(reverse(low), reverse('</thinking>')) - 9 <= bp then 1.0 else 0.7 end else 0 end form,
-  case when l2 = '' then 0.3 else case when nt >= 50 then 0.4 when nt >= 30 then 0.3 when nt >= 15 then 0.2 when nt >= 5 then 0.1 else 0 end + case when {' or '.join(f"contains(lower(l2), {quoted(w)})" for w in exam.ANALYSIS)} then 0.3 else 0 end + case when regexp_matches({ascii_words('lower(l2)')}, {quoted(exam.OPTIONS.replace('(?U)', ''))}) then 0.3 else 0 end end reason from f3)"""
+  case when l2 = '' then 0.3 else case when nt >= 50 then 0.4 when nt >= 30 then 0.3 when nt >= 15 then 0.2 when nt >= 5 then 0.1 else 0 end + case when {' or '.join(f"contains(lower(l2), {quoted(w)})" for w in exam.ANALYSIS)} then 0.3 else 0 end + case when regexp_matches(regexp_replace(lower(l2), '[^\\x00-\\x7F]', '_', 'g'), {quoted(exam.OPTIONS.replace('(?U)', ''))}) then 0.3 else 0 end end reason from f3)"""
 
 
 @query("exam_format", f"with {FORMAT} select sample_id, round(box::double, 6) boxed, round(form::double, 6) format, round(reason::double, 6) reasoning, round((box + form + reason)::double / 3, 6) formats from f4")
