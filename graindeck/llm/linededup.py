@@ -80,7 +80,9 @@ def doc_hash(text: Column) -> Column:
 
 def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
     """One row for each line with a word: its order columns and the line (s)."""
-    docs = df.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("missing"), F.col(key).cast("long").alias("id"), doc_hash(F.col(text)).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
+    # hashed and split before the lines are rows of their own, which then carry no text
+    docs = df.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("missing"), F.col(key).cast("long").alias("id"), doc_hash(F.col(text)).alias("doc"), F.split(text, "\n").alias("lines"))
+    docs = docs.select("missing", "id", "doc", F.posexplode("lines").alias("line", "s"))
     return docs.where(F.col("s").rlike(f"[^{SPACE}]"))
 
 
