@@ -41,10 +41,12 @@ THINK_TAGS = ("think", "thinking")
 
 
 def boxed(x: Column, deepest: int = 4) -> Column:
-    """What the first box holds, with braces nested to a depth; null if it is empty, never closed or absent."""
-    inner = r"[^{}]*"
+    """What the first box holds, with braces nested to a depth; null if it is empty, never closed or absent.
+
+    Possessive: what stops a repetition here never lets an earlier stop match, and other repeated groups take stack by their length."""
+    inner = r"[^{}]*+"
     for _ in range(deepest):
-        inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
+        inner = rf"(?:[^{{}}]++|\{{{inner}\}})*+"
     first = F.when(F.locate("\\boxed{", F.lower(x)) > 0, F.substring(x, F.locate("\\boxed{", F.lower(x)), F.length(x)))
     return F.nullif(strip(F.regexp_extract(first, rf"(?is)^\\boxed\{{({inner})\}}", 1)), F.lit(""))
 
@@ -73,22 +75,24 @@ def parsed_number(x: Column) -> Column:
 
 def extracted(c: Column, letters: Column) -> Column:
     """The answer of a completion, by the first of: a box, an answer tag, "answer is" a number, "answer is" letters, bold letters
-    at the end, a last line of letters or options. letters: whether letters are wanted, which are then normalised. Null without one."""
+    at the end, a last line of letters or options. letters: whether letters are wanted, which are then normalised. Null without one.
+
+    Letters repeat possessively, as text after them is never one of theirs: a long text takes neither stack nor tries."""
     low = F.lower(strip(c))
     last = strip(F.element_at(F.split(strip(c), "\n"), -1))
     shaped = lambda v: F.when(letters & all_letters(v), normalized_answer(v)).otherwise(v)
     wanted = lambda v: F.when(letters, normalized_answer(v)).otherwise(v)
     take = lambda x, p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
     tagged = F.when(c.rlike(r"(?is)<answer>.*?</answer>"), strip(F.regexp_extract(c, r"(?is)<answer>\s*(.*?)\s*</answer>", 1)))
-    said = take(c, r"(?iU)(?:answer|the answer is)[:\s]+([A-Za-z](?:\s*[,&]?\s*(?:and\s+)?[A-Za-z])*)")
+    said = take(c, r"(?iU)(?:answer|the answer is)[:\s]+([A-Za-z](?:\s*+[,&]?+\s*+(?:and\s+)?[A-Za-z])*+)")
     steps = [
         shaped(boxed(c)),
         shaped(tagged),
         take(c, r"(?iU)(?:answer|the answer is)[:\s]+([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"),
         F.when(~F.lower(said).isin("is", "a", "an", "the"), wanted(said)),
-        wanted(take(c, r"(?iU)\*\*([A-Za-z](?:\s*[,&]?\s*[A-Za-z])*)\*\*\s*\.?\s*$")),
-        wanted(take(last, r"(?iU)^([A-Za-z](?:\s*[,&]?\s*(?:and\s+)?[A-Za-z])*)\.?$")),
-        wanted(take(last, r"(?iU)^(?:options?\s+)?([A-Za-z](?:\s*(?:,|and|&)\s*(?:options?\s+)?[A-Za-z])*)\.?$")),
+        wanted(take(c, r"(?iU)\*\*([A-Za-z](?:\s*+[,&]?+\s*+[A-Za-z])*+)\*\*\s*\.?\s*$")),
+        wanted(take(last, r"(?iU)^([A-Za-z](?:\s*+[,&]?+\s*+(?:and\s+)?[A-Za-z])*+)\.?$")),
+        wanted(take(last, r"(?iU)^(?:options?\s+)?([A-Za-z](?:\s*+(?:,|and|&)\s*+(?:options?\s+)?[A-Za-z])*+)\.?$")),
     ]
     return F.when(~(low.startswith("<think>") & ~low.contains("</think>")), F.coalesce(*steps))
 
