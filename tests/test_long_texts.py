@@ -15,3 +15,15 @@ def test_exam_answers_of_long_texts(spark):
     got = {r["i"]: r["got"] for r in df.select("i", exam.extracted(F.col("c"), F.lit(False)).alias("got")).collect()}
     assert got[0] == long.strip() and got[2] == cases[2][2]
     assert got[1] == got[3] == got[4] == got[5] == None  # noqa: E711
+
+
+def test_exam_scores_of_long_texts(spark):
+    """The whole score: thinking, boxes and answers by the hundred thousand characters."""
+    from graindeck.functions import registry
+    from graindeck.operators import exam  # noqa: F401
+
+    long = "word and other words " * 20000
+    texts = [f"<think>{long}</think>The answer is {long}", "<think>a</think>\\boxed{" + "x" * 99999 + "}", f"The answer is {long}", f"<think>{long}</think>\\boxed{{B}}"]
+    df = spark.createDataFrame([(i, "p", c, "B", "exam") for i, c in enumerate(texts)], "i int, prompt string, completion string, answer string, type string")
+    got = {r["i"]: r["exam"] for r in registry.score(df, ["exam"]).collect()}
+    assert all(0 < v < 1 for v in got.values()) and got[3] == max(got.values())
