@@ -56,7 +56,9 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def ngrams(t: Column, n: int) -> Column:
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Bound first: a lambda computes an expression that it holds, such as the words of a text, for each of its items."""
+    joined = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(t, lambda w: F.when(F.size(w) >= n, joined(w)).otherwise(F.array().cast("array<string>")))
 
 
 def ngram_repetition(t: Column, n: int) -> Column:

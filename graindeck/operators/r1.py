@@ -130,15 +130,14 @@ def repetition_penalty(p, c, a, t):
     sentence_likeness, which needs sequence matching."""
 
     def of(x: Column) -> Column:
-        loss = distinct_ngram_loss(tok(x), 4)
-        low = F.lower(x)
-        out = 1.0 - F.when(loss > 0.3, F.least(F.lit(0.4), loss)).otherwise(0.0)
+        # the lower-cased text, the loss and each count are bound, as inside a lambda every use of an expression computes it
+        out = 1.0 - let(distinct_ngram_loss(tok(x), 4), lambda v: F.when(v > 0.3, F.least(F.lit(0.4), v)).otherwise(0.0))
         for ph in PHRASES:
-            n = (F.length(low) - F.length(F.replace(low, F.lit(ph), F.lit("")))) / len(ph)
-            out = out - F.when(n > 3, F.least(F.lit(0.2), 0.05 * (n - 3))).otherwise(0.0)
+            n = (F.length(x) - F.length(F.replace(x, F.lit(ph), F.lit("")))) / len(ph)
+            out = out - let(n, lambda v: F.when(v > 3, F.least(F.lit(0.2), 0.05 * (v - 3))).otherwise(0.0))
         return out
 
-    return F.when(F.length(strip(c)) < 20, 1.0).otherwise(let(F.concat(thought(c), F.lit(" "), said(c)), of))
+    return F.when(F.length(strip(c)) < 20, 1.0).otherwise(let(F.lower(F.concat(thought(c), F.lit(" "), said(c))), of))
 
 
 @register("parsed_code", tags=("code",))

@@ -27,3 +27,15 @@ def test_exam_scores_of_long_texts(spark):
     df = spark.createDataFrame([(i, "p", c, "B", "exam") for i, c in enumerate(texts)], "i int, prompt string, completion string, answer string, type string")
     got = {r["i"]: r["exam"] for r in registry.score(df, ["exam"]).collect()}
     assert all(0 < v < 1 for v in got.values()) and got[3] == max(got.values())
+
+
+def test_ngrams_of_long_texts(spark):
+    """Words are split once, not for each n-gram:."""
+    from graindeck.functions import registry, text as tx
+    from graindeck.operators import r1  # noqa: F401
+
+    text = " ".join(f"w{i % 5000}" for i in range(40000))
+    df = spark.createDataFrame([("p", f"<think>a</think>{text}", "a", "math")], "prompt string, completion string, answer string, type string")
+    began = time.time()
+    got = registry.score(df, ["repetition_penalty"]).select("repetition_penalty", tx.ngram_repetition(tx.tok(F.col("completion")), 3).alias("three")).first()
+    assert time.time() - began < 60 and got["repetition_penalty"] == 0.6 and got["three"] == 1.0
