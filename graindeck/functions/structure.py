@@ -134,10 +134,9 @@ def detail(x: Column) -> Column:
 def halstead(x: Column) -> dict[str, Column]:
     """Function words as operators, the others as operands."""
     words = tok(x)
-    inside = F.array(*map(F.lit, FUNCTION_WORDS))
 
     def of(w: Column) -> Column:
-        return let(F.struct(F.filter(w, lambda v: F.array_contains(inside, v)).alias("a"), F.filter(w, lambda v: ~F.array_contains(inside, v)).alias("b")), measures)
+        return let(F.struct(F.filter(w, lambda v: v.isin(*FUNCTION_WORDS)).alias("a"), F.filter(w, lambda v: ~v.isin(*FUNCTION_WORDS)).alias("b")), measures)
 
     def measures(s) -> Column:
         n1, n2 = F.size(F.array_distinct(s.a)), F.size(F.array_distinct(s.b))
@@ -154,7 +153,7 @@ def clones(x: Column, least: int = 20) -> Column:
     """Repeated segments between sentence ends and line ends, lower-cased with single spaces, of so many characters as they
     stood: an array of (segment, n), those that waste most first. Segments are sorted and folded, so only clones are kept."""
     segments = F.filter(F.transform(F.split(x, "[.!?\n]+"), strip), lambda s: F.length(s) >= least)
-    plain = F.array_sort(F.transform(segments, lambda s: F.regexp_replace(F.lower(s), r"(?U)\s+", " ")))
+    plain = F.sort_array(F.transform(segments, lambda s: F.regexp_replace(F.lower(s), r"(?U)\s+", " ")))
     none = F.expr("cast(array() as array<struct<w:int,segment:string,n:int>>)")
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), none.alias("out"))
 
@@ -199,6 +198,18 @@ def characters(x: Column) -> Column:
     return F.filter(F.split(x, ""), lambda v: v != "")
 
 
+def char_entropy(x: Column, few: int = 128) -> Column:
+    """entropy_of the characters. Few distinct ones are counted one by one, by what a text loses without them; more are sorted."""
+
+    def of(p) -> Column:
+        count = lambda v: (F.length(p.x) - F.length(F.replace(p.x, v, F.lit("")))).cast("double")
+        total = F.aggregate(p.d, F.lit(0.0), lambda s, v: s + let(count(v), lambda k: k * F.log2(k)))
+        counted = F.log2(F.length(p.x).cast("double")) - total / F.length(p.x)
+        return F.when(p.x == "", 0.0).when(F.size(p.d) <= few, counted).otherwise(entropy_of(characters(p.x)))
+
+    return let(F.struct(x.alias("x"), F.sort_array(F.array_distinct(F.split(x, ""))).alias("d")), of)
+
+
 def information(x: Column) -> dict[str, Column]:
     """Entropies by characters and words, normalised by the number of words, by the vocabulary, and redundancy."""
 
@@ -213,7 +224,7 @@ def information(x: Column) -> dict[str, Column]:
         return let(entropy_of(w), measures)
 
     out = let(tok(x), of)
-    return {"char_entropy": let(characters(x), entropy_of)} | {k: out[k] for k in ("word_entropy", "max_entropy", "normalized", "density", "redundancy")}
+    return {"char_entropy": char_entropy(x)} | {k: out[k] for k in ("word_entropy", "max_entropy", "normalized", "density", "redundancy")}
 
 
 def gain_per_token(x: Column) -> Column:
@@ -221,7 +232,7 @@ def gain_per_token(x: Column) -> Column:
 
     def of(w: Column) -> Column:
         # of a word's occurrences at positions i, the k-th has been seen k times before
-        placed = F.array_sort(F.transform(w, lambda v, i: F.struct(v.alias("w"), i.alias("i"))))
+        placed = F.sort_array(F.transform(w, lambda v, i: F.struct(v.alias("w"), i.alias("i"))))
         start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("seen"), F.lit(0.0).alias("total"))
 
         def step(a, p):

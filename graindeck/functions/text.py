@@ -89,7 +89,7 @@ def over_runs(items: Column, value) -> Column:
         same = a.last.eqNullSafe(x)
         return F.struct(x.alias("last"), F.when(same, a.n + 1).otherwise(1).alias("n"), F.when(same, a.s).otherwise(closed(a)).alias("s"))
 
-    return F.aggregate(F.array_sort(items), start, step, closed)
+    return F.aggregate(F.sort_array(items), start, step, closed)  # array_sort compares by an interpreted lambda
 
 
 def vowel_share(x: Column) -> Column:

@@ -143,13 +143,14 @@ def cognitive(steps: Column, depth: Column, linear: Column, cyclomatic: Column,
 def reasoning_quality(c: Column) -> Column:
     def measured(x: Column) -> Column:
         m = st.structure(x)
-        return F.struct(m["steps"].alias("s"), m["depth"].alias("d"), m["branches"].alias("b"), m["linear_ratio"].alias("l"), m["conclusion"].alias("c"), m["premises"].alias("p"), st.cyclomatic(x).alias("y"), st.halstead(x)["difficulty"].alias("h"))
+        return F.struct(m["steps"].alias("s"), m["depth"].alias("d"), m["branches"].alias("b"), m["conclusion"].alias("c"), m["premises"].alias("p"), st.cyclomatic(x).alias("y"), st.halstead(x)["difficulty"].alias("h"))
 
     def of(m) -> Column:
+        linear = F.when(m.s + m.b > 0, m.s / (m.s + m.b)).otherwise(1.0)  # as in structure, from steps and branches that are there
         steps = F.when(m.s == 0, 0.0).when(m.s < 2, 0.3 * m.s).when(m.s <= 7, 0.5 + 0.5 * F.least(F.lit(1.0), m.s / 5)).otherwise(F.greatest(F.lit(0.5), 1.0 - (m.s - 7) * 0.05))
         depth = F.when(m.d == 0, 0.0).when(m.d <= 3, 0.4 + 0.2 * m.d).otherwise(F.greatest(F.lit(0.7), 1.0 - (m.d - 3) * 0.1))
         forks = F.when(m.b == 0, 0.5).when(m.b <= 3, 0.6 + 0.15 * m.b).otherwise(F.greatest(F.lit(0.7), 1.0 - (m.b - 3) * 0.05))
-        return 0.25 * steps + 0.20 * depth + 0.15 * forks + 0.15 * F.when(m.c, 1.0).otherwise(0.4) + 0.10 * F.when(m.p, 1.0).otherwise(0.5) + 0.15 * cognitive(m.s, m.d, m.l, m.y, m.h)
+        return 0.25 * steps + 0.20 * depth + 0.15 * forks + 0.15 * F.when(m.c, 1.0).otherwise(0.4) + 0.10 * F.when(m.p, 1.0).otherwise(0.5) + 0.15 * cognitive(m.s, m.d, linear, m.y, m.h)
 
     return F.when(c == "", 0.0).otherwise(let(let(thinking_or_all(c), measured), of))
 
@@ -234,7 +235,7 @@ def length_efficiency(c: Column, budget: int = 450) -> Column:
         return 0.40 * use + 0.35 * balance + 0.25 * dense
 
     tokens = tx.token_estimate
-    return let(F.struct((tokens(c) / budget).alias("u"), tokens(sec.thinking_section(c)).alias("t"), tokens(sec.answer_section(c)).alias("a"), let(st.characters(c), st.entropy_of).alias("h")), of)
+    return let(F.struct((tokens(c) / budget).alias("u"), tokens(sec.thinking_section(c)).alias("t"), tokens(sec.answer_section(c)).alias("a"), st.char_entropy(c).alias("h")), of)
 
 
 def consistency(c: Column) -> Column:
@@ -319,7 +320,7 @@ def hierarchical(df: DataFrame, completion: str = "completion", answer: str = "a
     quality = (0.25 * reasoning_quality(c) + 0.15 * efficiency(c, a) + 0.20 * coherence + 0.15 * depth_score(c)) / 0.75
     x = x.withColumns({"_l_foundation": foundation(c), "_l_correctness": correctness, "_l_quality": quality, "_l_polish": polish(c)})
     levels = {k: F.col(f"_l_{k}") for k in GATES}
-    repeated, entropy, unique = let(tok(c), lambda w: tx.ngram_repetition(w, 3)), let(st.characters(c), st.entropy_of), let(tok(c), tx.unique_ratio)
+    repeated, entropy, unique = let(tok(c), lambda w: tx.ngram_repetition(w, 3)), st.char_entropy(c), let(tok(c), tx.unique_ratio)
     clones = F.least(F.lit(10), F.size(st.clones(c, 30)))
     penalty = (
         F.when(repeated > 0.3, F.least(F.lit(0.3), (repeated - 0.3) * 0.5)).otherwise(0.0)

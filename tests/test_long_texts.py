@@ -39,3 +39,15 @@ def test_ngrams_of_long_texts(spark):
     began = time.time()
     got = registry.score(df, ["repetition_penalty"]).select("repetition_penalty", tx.ngram_repetition(tx.tok(F.col("completion")), 3).alias("three")).first()
     assert time.time() - began < 60 and got["repetition_penalty"] == 0.6 and got["three"] == 1.0
+
+
+def test_character_entropy_counts_few_and_sorts_many(spark):
+    """Counting and sorting give the same, for few characters, many, none and those of several bytes."""
+    from graindeck.functions import structure as st
+    from graindeck.functions.text import let
+
+    texts = ["", "a", "abca " * 5000, "é\U0001f600\n" * 7 + "x", "".join(map(chr, range(200, 400))) * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for few in (0, 128, 1000):
+        got = df.select(st.char_entropy(F.col("t"), few).alias("a"), let(st.characters(F.col("t")), st.entropy_of).alias("b")).collect()
+        assert all(abs(r["a"] - r["b"]) < 1e-12 for r in got), got
