@@ -92,6 +92,17 @@ def over_runs(items: Column, value) -> Column:
     return F.aggregate(F.sort_array(items), start, step, closed)  # array_sort compares by an interpreted lambda
 
 
+def run_lengths(items: Column) -> Column:
+    """How often each distinct item of an array occurs, in the items' order: the distances of where runs start when sorted."""
+
+    def of(v: Column) -> Column:
+        place = F.transform(v, lambda x, i: F.when((i > 0) & x.eqNullSafe(F.get(v, i - 1)), F.lit(None).cast("int")).otherwise(i))
+        starts = F.filter(place, lambda i: i.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.coalesce(F.get(s, k + 1), F.size(v)) - at))
+
+    return let(F.sort_array(items), of)
+
+
 def vowel_share(x: Column) -> Column:
     return F.regexp_count(F.lower(x), F.lit("[aeiou]")) / F.length(x)
 
