@@ -6,8 +6,10 @@ neighbours are in, while there is room. A small network learns from that the sha
 puts every vector of the table into its most probable part, after a handicap for each part that evens their sizes out. A second
 network, of the same form, learns where the neighbours of a vector were put, and sends a query to its several most probable
 parts, as many as a held-out share of the sample needs for RECALL; the candidates there are ranked anew by their exact inner
-products. The sample bounds only the fit: every vector is indexed. Parts of over BLOCK rows are dealt to several tasks, and
-queries likewise, so no task holds a whole large part.
+products. The sample bounds only the fit: every vector is indexed. Neighbouring parts share a shelf, of which there are SHELVES
+or as many as keep one within about BLOCK rows. A query goes once to each shelf that holds a part it visits and brings back the
+k nearest of those parts together, so what is ranked at last grows with the queries and the shelves, not with the parts visited.
+A part of over BLOCK rows is a shelf dealt to several tasks, and queries likewise, so no task holds a whole large part.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part. Each dimension is searched by itself.
 Ties go to the smaller id. Rows that share a query's id are not its candidates. Rows that repeat both id and vector count
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import table, written
 
-SAMPLE, NEIGHBOURS, PART, BLOCK, HIDDEN, RECALL = 16384, 24, 160, 8192, 96, 0.93
+SAMPLE, NEIGHBOURS, PART, BLOCK, SHELVES, HIDDEN, RECALL = 16384, 24, 160, 32768, 8, 96, 0.93
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -142,14 +144,34 @@ class Index:
         return self.router.parts(x, self.visits)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, c: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest exact inner products of one query, ties to smaller ids; scores find what is near the k-th."""
-    scores[ids == own] = -np.inf
-    least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
-    near = np.flatnonzero((scores >= least - 1e-9 * (1 + abs(least))) & (scores > -np.inf)) if least > -np.inf else np.flatnonzero(scores > -np.inf)
-    exact = (c[near] * q).sum(axis=1)
-    top = np.lexsort((ids[near], -exact))[:k]
-    return ids[near][top], exact[top]
+def nearest(s: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x, row of y and exact inner product of the k largest for each row of x, ties to smaller ids. The scores s, -inf for
+    what isn't asked, find what is near the k-th."""
+    least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -np.inf)
+    with np.errstate(invalid="ignore"):
+        least = np.where(least > -np.inf, least - 1e-9 * (1 + np.abs(least)), -np.inf)
+    at, near = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    pieces = [slice(i, i + 16384) for i in range(0, len(at), 16384)]
+    exact = np.concatenate([(y[near[i]] * x[at[i]]).sum(axis=1) for i in pieces]) if pieces else np.zeros(0)
+    order = np.lexsort((ids[near], -exact, at))
+    at, near, exact = at[order], near[order], exact[order]
+    top = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[top], near[top], exact[top]
+
+
+def shelf_scores(x: np.ndarray, visits: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, bounds: list[tuple[int, int, int]]) -> np.ndarray:
+    """Inner products of queries with the rows of the parts they visit, -inf for others and for rows of a query's own id.
+    bounds: part, first row and end of each part in y; visits: whether a query visits each part of bounds."""
+    s = np.full((len(x), len(y)), -np.inf)
+    for i, (_, first, end) in enumerate(bounds):
+        asked = np.flatnonzero(visits[:, i])
+        if len(asked):
+            s[asked, first:end] = x[asked] @ y[first:end].T
+    order = np.argsort(ids, kind="stable")
+    first, end = (np.searchsorted(ids[order], own, side) for side in ("left", "right"))
+    for i in np.flatnonzero(end > first):
+        s[i, order[first[i] : end[i]]] = -np.inf
+    return s
 
 
 def vector_key(q: np.ndarray) -> int:
@@ -177,6 +199,17 @@ def index(rows: DataFrame, n: int, sample: int, part_rows: int, seed: int, recal
     return (Index(x, parts, recall) if parts > 1 else None), parts
 
 
+def shelves(held: list[int], block: int) -> list[int]:
+    """The shelf of each part, given its rows: runs of neighbouring parts, of about an equal share of the rows."""
+    most = min(block, max(1, -(-sum(held) // SHELVES)))
+    out, rows = [], 0
+    for p, n in enumerate(held):
+        fresh = p > 0 and rows + n / 2 > most
+        out.append((out[-1] if out else 0) + fresh)
+        rows = n if fresh else rows + n
+    return out
+
+
 def search_rows(rows: DataFrame, n: int, k: int, key: str, sample: int, part_rows: int, block: int, seed: int, recall: float) -> DataFrame:
     """The search among n rows (id, v, q) of one dimension."""
     spark = rows.sparkSession
@@ -195,34 +228,41 @@ def search_rows(rows: DataFrame, n: int, k: int, key: str, sample: int, part_row
 
     placed = written(rows.mapInPandas(routed, "id long, v array<double>, p int, parts array<int>"), "placed")
     held = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked = {r["p"]: r["n"] for r in placed.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = F.array(*[F.lit(max(1, -(-held.get(p, 0) // block))) for p in range(parts)])
-    q_cuts = F.array(*[F.lit(max(1, -(-asked.get(p, 0) // block))) for p in range(parts)])
-    sliced = lambda cuts, p: F.pmod(F.xxhash64(F.lit(seed), "id"), cuts[p]).cast("int")
-    every = lambda cuts, p: F.explode(F.sequence(F.lit(0), cuts[p] - 1))
-    p = F.col("p")
-    cands = placed.select("id", "v", "p", sliced(cuts, p).alias("s"), every(q_cuts, p).alias("t"))
-    asks = placed.select("id", "v", F.explode("parts").alias("p")).select("id", "v", "p", sliced(q_cuts, p).alias("t"), every(cuts, p).alias("s"))
-
-    def distinct(d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids, v = d["id"].to_numpy(), np.stack(d["v"].to_numpy())
+    shelf = shelves([held.get(p, 0) for p in range(parts)], block)
+    on = F.array(*map(F.lit, shelf))
+    rows_on = [sum(held.get(p, 0) for p in range(parts) if shelf[p] == g) for g in range(shelf[-1] + 1)]
+    visits = placed.where("parts is not null").withColumn("g", F.explode(F.array_distinct(F.transform("parts", lambda p: on[p]))))
+    asked = {r["g"]: r["n"] for r in visits.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = F.array(*[F.lit(max(1, -(-n // (2 * block)))) for n in rows_on])
+    q_cuts = F.array(*[F.lit(max(1, -(-asked.get(g, 0) // block))) for g in range(len(rows_on))])
+    sliced = lambda cuts: F.pmod(F.xxhash64(F.lit(seed), "id"), cuts[F.col("g")]).cast("int")
+    every = lambda cuts: F.explode(F.sequence(F.lit(0), cuts[F.col("g")] - 1))
+    cands = placed.select("id", "v", "p", on[F.col("p")].alias("g")).select("id", "v", "p", "g", sliced(cuts).alias("s"), every(q_cuts).alias("t"))
+    asks = visits.select("id", "v", F.filter("parts", lambda p: on[p] == F.col("g")).alias("parts"), "g", sliced(q_cuts).alias("t"), every(cuts).alias("s"))
+
+    def distinct(d: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        v = np.stack(d["v"].to_numpy())
         if d["id"].is_unique:
-            return ids, v
-        first = ~pd.DataFrame({"id": ids, "v": [x.tobytes() for x in v]}).duplicated().to_numpy()
-        return ids[first], v[first]
+            return d, v
+        first = ~pd.DataFrame({"id": d["id"].to_numpy(), "v": [x.tobytes() for x in v]}).duplicated().to_numpy()
+        return d[first], v[first]
 
     def ranked(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(c):
-            (asking, x), (ids, y) = distinct(a), distinct(c)
-            for at in range(0, len(x), 256):
-                qs = x[at : at + 256]
-                for own, q, s in zip(asking[at : at + 256], qs, qs @ y.T):
-                    near, exact = best(s, ids, q, y, own, k)
-                    out.append(pd.DataFrame({"query_id": own, "_q": vector_key(q), key: near, "score": exact}))
+            (a, x), (c, y) = distinct(a), distinct(c.sort_values("p", kind="stable"))
+            asking, ids = a["id"].to_numpy(), c["id"].to_numpy()
+            there, first = np.unique(c["p"].to_numpy(), return_index=True)
+            bounds = list(zip(there, first, [*first[1:], len(c)]))
+            visited = np.stack([np.isin(there, p) for p in a["parts"]])
+            for at in range(0, len(x), 64):
+                some = slice(at, at + 64)
+                q, near, exact = nearest(shelf_scores(x[some], visited[some], asking[some], y, ids, bounds), ids, x[some], y, k)
+                keys = np.array([vector_key(v) for v in x[some]], np.int64)
+                out.append(pd.DataFrame({"query_id": asking[some][q], "_q": keys[q], key: ids[near], "score": exact}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "_q": pd.Series(dtype="int64"), key: pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
 
-    found = asks.groupBy("p", "s", "t").cogroup(cands.groupBy("p", "s", "t")).applyInPandas(ranked, f"query_id long, _q long, {key} long, score double")
+    found = asks.groupBy("g", "s", "t").cogroup(cands.groupBy("g", "s", "t")).applyInPandas(ranked, f"query_id long, _q long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "_q").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 

@@ -350,6 +350,20 @@ def test_ann_recall_on_the_embeddings_by_part_of_the_parts(spark):
     assert found / (20 * len(got)) >= 0.9 and len(got) == (ids % 50 == 0).sum()
 
 
+def test_ann_brings_back_rows_by_shelves_not_by_parts(spark, monkeypatch):
+    """What a query brings back for the last ranking doesn't grow with the number of parts that it visits."""
+    x = np.random.default_rng(4).normal(size=(3200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    frame, made = type(df), []
+    with_column = frame.withColumn
+    monkeypatch.setattr(frame, "withColumn", lambda self, name, c: (made.append(len(self.collect())) if name == "rank" else None, with_column(self, name, c))[1])
+    got = ann.search(df, F.col("vec_id") % 40 == 0, part_rows=40, recall=1.0).collect()
+    assert len(got) == 80 * 20 and made[0] <= 80 * 20 * (ann.SHELVES + 1)
+    for q in range(0, 3200, 400):
+        s = (x * x[q]).sum(axis=1)
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == sorted(set(range(3200)) - {q}, key=lambda i: (-s[i], i))[:20]
+
+
 def test_ann_repeated_rows_count_once(spark):
     r = np.random.default_rng(6)
     x = r.normal(size=(90, 5))
