@@ -5,8 +5,9 @@ has a Jaccard similarity of at least SIMILAR / 100. Words are ordered by rarity,
 cells; a word's key is its cell's rank and 49 bits of its hash, so sorting keys sorts by rarity. Lines whose sorted keys have
 equal 64-bit hashes and numbers are one class, named in order of first appearance: among n distinct sets, two that differ
 are taken for one at a chance of about n^2 / 2^65. Two classes can only be similar if they share a key of their prefixes; pairs that
-do are kept if their lengths, the positions of that key and two words of parity bits (which no more positions can differ in
-than the sets differ in words) allow the similarity, and are verified on the lines themselves. One similar earlier line
+do are kept if their lengths, the positions of that key and their parity bits (which no more positions can differ in than the
+sets differ in words: 128 bits, and 256 between sets of WIDE keys or more, as 128 say little of those) allow the similarity, and
+are verified on the lines themselves. One similar earlier line
 decides a line, so each class first meets the earliest class of each of its keys, ROUNDS times over (then the
 next one that isn't decided), and only classes that none of those decides meet all earlier classes of their keys: a group of near copies costs a few pairs for
 each member, and no decision changes.
@@ -30,7 +31,9 @@ ROUNDS = 1
 #: A join on keys is done in so many steps, each for a share of the keys, so that less disk is used at once.
 SHARES = 2
 ORDER = ("missing", "id", "doc", "line")
+BITS = ("p", "q", "r", "s")
 HASH_BITS = 49
+WIDE = 160
 
 
 def line_words(s: Column) -> Column:
@@ -66,8 +69,18 @@ def bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(63).cast("int"))
 
 
-def parity(k: Column, shift: int) -> Column:
-    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(F.shiftright(x, shift) if shift else x)))
+def parity(k: Column, half) -> Column:
+    """The parities, by 6 bits of the hash, of the keys for which the last bit of half(key) is set."""
+    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", half(x).bitwiseAND(1), x.bitwiseAND(63).cast("int"))))
+
+
+def parities(k: Column) -> list[Column]:
+    """p and q: the parities of either half of the keys; r and s: of a half of each half, only where there are WIDE keys or more."""
+    odd, upper = lambda x: F.shiftright(x, 6), lambda x: F.shiftright(x, 7)
+    even = lambda x: F.bitwise_not(odd(x))
+    wide = lambda c: F.when(F.size(k) >= WIDE, c).otherwise(F.lit(0).cast("long"))
+    r, s = (parity(k, lambda x, f=f: f(x).bitwiseAND(upper(x))) for f in (even, odd))
+    return [parity(k, even).alias("p"), parity(k, odd).alias("q"), wide(r).alias("r"), wide(s).alias("s")]
 
 
 def prefix_length(n: Column, similar: int) -> Column:
@@ -93,10 +106,10 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     lines = lines_of(df, text, key).select(*ORDER, "s", rank.scalar().alias("rank"))
     lines = lines.select(*ORDER, keys(line_words(F.col("s")), F.col("rank")).alias("k"))
     k, n = F.col("k"), F.size("k")
-    lines = written(lines.select(*ORDER, F.xxhash64(k).alias("sig"), n.alias("n"), F.slice(k, F.lit(1), prefix_length(n, similar).cast("int")).alias("prefix"), parity(k, 0).alias("p"), parity(k, 6).alias("q")), "lines")
+    lines = written(lines.select(*ORDER, F.xxhash64(k).alias("sig"), n.alias("n"), F.slice(k, F.lit(1), prefix_length(n, similar).cast("int")).alias("prefix"), *parities(k)), "lines")
     dropped(rank)
     order = F.struct(*ORDER)
-    classes = lines.groupBy("sig", "n").agg(F.min(F.struct(order.alias("o"), F.col("prefix"), F.col("p"), F.col("q"))).alias("first"))
+    classes = lines.groupBy("sig", "n").agg(F.min(F.struct(order.alias("o"), F.col("prefix"), *BITS)).alias("first"))
     # sorted by first appearance, so that a smaller cid means an earlier line
     classes = written(classes.select("sig", "n", "first.*").orderBy("o").withColumn("cid", F.monotonically_increasing_id()), "classes")
     firsts = classes.select(F.col("sig").alias("s"), F.col("n").alias("m"), F.col("o").alias("first"))
@@ -105,12 +118,12 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     used = [classes, equal]
     # sets of under 4 words are similar only if they are equal
     least = -(-similar // (100 - similar))
-    rows = classes.where(F.col("n") >= least).select("cid", "n", "p", "q", F.posexplode("prefix").alias("i", "key"))
+    rows = classes.where(F.col("n") >= least).select("cid", "n", *BITS, F.posexplode("prefix").alias("i", "key"))
     # a class that is similar to the leader of one of its words is decided; the others meet all earlier ones at the end
     waiting = heads = rows
     sets, near = None, []
     for last in (*[False] * ROUNDS, True):
-        met = rows if last else heads.groupBy("key").agg(*[F.min_by(c, "cid").alias(c) for c in ("cid", "n", "p", "q", "i")])
+        met = rows if last else heads.groupBy("key").agg(*[F.min_by(c, "cid").alias(c) for c in ("cid", "n", *BITS, "i")])
         # a share of the keys at a time, whose shuffle files go before the next share's are written
         shares = [written(candidates(*(x.where(F.pmod("key", F.lit(SHARES)) == k) for x in (met, waiting)), similar), "pairs") for k in range(SHARES)]
         used += shares
@@ -137,13 +150,16 @@ def candidates(earlier: DataFrame, later: DataFrame, similar: int) -> DataFrame:
     a, b = earlier.alias("a"), later.alias("b")
     need = F.ceil(similar * (F.col("a.n") + F.col("b.n")) / (100 + similar))
     differ = F.col("a.n") + F.col("b.n") - 2 * need
+    p, q, r, s = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in BITS)
+    narrow = F.bit_count(p) + F.bit_count(q) <= differ
+    wide = F.bit_count(r) + F.bit_count(p.bitwiseXOR(r)) + F.bit_count(s) + F.bit_count(q.bitwiseXOR(s)) <= differ
     fits = (
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.cid") < F.col("b.cid"))
         & (100 * F.least("a.n", "b.n") >= similar * F.greatest("a.n", "b.n"))
         & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= need)
-        & (F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) <= differ)
-        & (F.bit_count(F.col("a.q").bitwiseXOR(F.col("b.q"))) <= differ)
+        & narrow
+        & ((F.least("a.n", "b.n") < WIDE) | wide)
     )
     return a.join(b, fits).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -102,6 +103,28 @@ def test_line_dedup(spark, docs, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_pairs_no_unrelated_long_lines(spark, monkeypatch):
+    """Long lines that share rare words without being similar are told apart by their parities, not by verifying pairs of them."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    lines = [r.sample(vocabulary, r.choice((140, 170, 300))) for _ in range(150)]
+    lines += [x[:-n] + [f"new{i}" for i in range(n)] for x in lines[:9] for n in (3, 60)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    pairs, written = [], linededup.written
+
+    def counted(d, tag):
+        out = written(d, tag)
+        if tag == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "written", counted)
+    gone = {r["doc_id"] for r in linededup.dedup_lines(df).collect() if r["lines_removed"]}
+    sets = [set(x) for x in lines]
+    assert gone == {j for j, b in enumerate(sets) if any(100 * len(a & b) >= 80 * len(a | b) for a in sets[:j])} and len(gone) >= 9
+    assert sum(pairs) < 200
+
+
 def test_signature_trees(spark, docs, none):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in sigtree.link(docs).collect()}
     sets = {r[0]: shingles(r[1]) for r in ROWS if r[0] is not None}
