@@ -21,9 +21,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, dropped, let, table, unused, words, written
+from .common import dropped, let, table, unused, written
 
 SIMILAR = 80
 CELLS = 18
@@ -33,35 +33,29 @@ SHARES = 2
 ORDER = ("missing", "id", "doc", "line")
 BITS = ("p", "q", "r", "s")
 HASH_BITS = 49
-WIDE = 160
+MIDDLE, WIDE = 80, 160
 
 
-def line_words(s: Column) -> Column:
-    """The words of a line, and empty strings among them; most lines have no white space but spaces and need only a split."""
-    odd = "\t\x0b\x0c\r"
-    return F.split(F.when(s.rlike(f"[{odd}]"), F.translate(s, odd, " " * len(odd))).otherwise(s), " ")
-
-
-def cell(w: Column) -> Column:
-    return F.hash(w).bitwiseAND((1 << CELLS) - 1)
+def word_hashes(s: Column) -> Column:
+    """The distinct hashes of the words of a line that has no white space but spaces."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(s, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
-def ranks(df: DataFrame, text: str) -> DataFrame:
-    """One row: an array with the rank by rarity of each of 2^CELLS cells of words, where a key has it; of a fixed size."""
-    lines = df.select(F.explode(F.split(F.col(text), "\n")).alias("s"))
-    counts = lines.select(F.explode(line_words(F.col("s"))).alias("w")).where("w <> ''").groupBy(cell(F.col("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+def ranks(lines: DataFrame) -> DataFrame:
+    """One row: an array with the rank by rarity of each of 2^CELLS cells of the hashes in w, where a key has it; of a fixed size."""
+    counts = lines.select(F.explode("w").alias("x")).groupBy(F.col("x").bitwiseAND((1 << CELLS) - 1).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     # counts, in order of magnitude above 4096, so that few bits hold them
     level = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(4096 + 256 * F.log2(F.col("n") / 4096)))
     pairs = counts.select("cell", F.shiftleft(F.least(level, F.lit(16383)).cast("long"), HASH_BITS).alias("level"))
-    every = df.sparkSession.range(1 << CELLS).select(F.col("id").cast("int").alias("cell")).join(pairs, "cell", "left")
+    every = lines.sparkSession.range(1 << CELLS).select(F.col("id").cast("int").alias("cell")).join(pairs, "cell", "left")
     slices = every.groupBy(F.shiftright("cell", 10).alias("slice")).agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("level", F.lit(0).cast("long")).alias("level")))).alias("a"))
     return slices.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("slice", F.transform("a", lambda x: x.level).alias("a")))), lambda x: x.a)).alias("rank"))
 
 
 def keys(w: Column, rank: Column) -> Column:
-    """The sorted distinct keys of an array of words: rank, then hash bits that tell words apart."""
-    key = lambda x: F.get(rank, cell(x)).bitwiseOR(F.xxhash64(x).bitwiseAND((1 << HASH_BITS) - 1))
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(w, ""), key)))
+    """The sorted keys of an array of hashes: rank, then hash bits that tell words apart. Without nulls, longs are sorted as such."""
+    key = lambda x: F.get(rank, x.bitwiseAND((1 << CELLS) - 1).cast("int")).bitwiseOR(x.bitwiseAND((1 << HASH_BITS) - 1))
+    return F.sort_array(F.transform(w, lambda x: F.coalesce(key(x), F.lit(0).cast("long"))))
 
 
 def bit(i: Column) -> Column:
@@ -69,63 +63,112 @@ def bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(63).cast("int"))
 
 
-def parity(k: Column, half) -> Column:
-    """The parities, by 6 bits of the hash, of the keys for which the last bit of half(key) is set."""
-    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", half(x).bitwiseAND(1), x.bitwiseAND(63).cast("int"))))
+def parity(k: Column, some=None) -> Column:
+    """The parities, by 6 bits of another hash, of all keys or of those for which the last bit of some(key) is set."""
+    one = (lambda x: some(x).bitwiseAND(1)) if some else lambda x: F.lit(1).cast("long")
+    # a shift of a long reads no more than the last 6 bits
+    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), F.hash(x))))
 
 
 def parities(k: Column) -> list[Column]:
-    """p and q: the parities of either half of the keys; r and s: of a half of each half, only where there are WIDE keys or more."""
+    """p: the parities of all keys; q: of a half, only where there are MIDDLE keys or more; r and s: of a half of each half, from WIDE keys on."""
     odd, upper = lambda x: F.shiftright(x, 6), lambda x: F.shiftright(x, 7)
-    even = lambda x: F.bitwise_not(odd(x))
-    wide = lambda c: F.when(F.size(k) >= WIDE, c).otherwise(F.lit(0).cast("long"))
-    r, s = (parity(k, lambda x, f=f: f(x).bitwiseAND(upper(x))) for f in (even, odd))
-    return [parity(k, even).alias("p"), parity(k, odd).alias("q"), wide(r).alias("r"), wide(s).alias("s")]
+    of = lambda least, some: F.when(F.size(k) >= least, parity(k, some)).otherwise(F.lit(0).cast("long"))
+    r, s = (of(WIDE, lambda x, f=f: f(x).bitwiseAND(upper(x))) for f in (lambda x: F.bitwise_not(odd(x)), odd))
+    return [parity(k).alias("p"), of(MIDDLE, odd).alias("q"), r.alias("r"), s.alias("s")]
 
 
 def prefix_length(n: Column, similar: int) -> Column:
     return n - F.ceil(n * similar / 100) + 1
 
 
+def short_length(n: Column, similar: int) -> Column:
+    """The length of the prefix in which a set must share a key with the whole prefix of any similar set that is no smaller."""
+    return n - F.ceil(n * 2 * similar / (100 + similar)) + 1
+
+
 def doc_hash(text: Column) -> Column:
     return F.xxhash64(F.lit(3), text)
 
 
 def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
-    """One row for each line with a word: its order columns and the line (s)."""
+    """One row for each line: its order columns and the line (s), with a space for any other white space."""
+    odd = "\t\x0b\x0c\r"
+    # a split at one character finds it much faster than a regular expression or contains does
+    some = reduce(Column.__or__, [F.size(F.split(text, c)) > 1 for c in odd])
+    plain = F.when(some, F.translate(F.col(text), odd, " " * len(odd))).otherwise(F.col(text))
     # hashed and split before the lines are rows of their own, which then carry no text
-    docs = df.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("missing"), F.col(key).cast("long").alias("id"), doc_hash(F.col(text)).alias("doc"), F.split(text, "\n").alias("lines"))
-    docs = docs.select("missing", "id", "doc", F.posexplode("lines").alias("line", "s"))
-    return docs.where(F.col("s").rlike(f"[^{SPACE}]"))
+    docs = df.where(F.col(text).isNotNull()).select(F.col(key).isNull().alias("missing"), F.col(key).cast("long").alias("id"), doc_hash(F.col(text)).alias("doc"), F.split(plain, "\n").alias("lines"))
+    return docs.select("missing", "id", "doc", F.posexplode("lines").alias("line", "s"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """One row (_id, _doc, place) for each document of the lines; place is its number, from 0, in the order of documents."""
+    docs = lines.select("missing", "id", "doc").distinct().orderBy("missing", "id", "doc")
+    docs = written(docs.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), F.monotonically_increasing_id().alias("at")), "docs")
+    # a row for each partition of the sort
+    parts = docs.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(parts.select("part", before.alias("before")))
+    place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    out = written(docs.join(starts, F.shiftright("at", 33) == F.col("part")).select("_id", "_doc", place.alias("place")), "places")
+    dropped(docs)
+    return out
+
+
+def classed(lines: DataFrame) -> DataFrame:
+    """The lines with their class (cid, smaller for a class that appears earlier) and whether they name it (first).
+
+    A class is named by its earliest line, and by one row of it if rows are repeated; the others are left out."""
+    docs = numbered(lines)
+    # long values only, which hash aggregates can hold
+    cid = F.shiftleft("place", 31).bitwiseOR(F.col("line").cast("long"))
+    at = lines.select("sig", "n", "row", *ORDER).join(docs, F.col("id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc")))
+    at = at.select("sig", "n", "row", *ORDER, cid.alias("cid"))
+    firsts = at.groupBy("sig", "n").agg(F.min("cid").alias("cid"), *[F.min_by(c, "cid").alias(f"_{c}") for c in ("row", *ORDER)])
+    firsts = firsts.withColumnsRenamed({"sig": "_sig", "n": "_n"})
+    joined = lines.join(firsts, (F.col("sig") == F.col("_sig")) & (F.col("n") == F.col("_n")))
+    first = F.col("row") == F.col("_row")
+    again = F.struct(*ORDER) == F.struct(*[F.col(f"_{c}").alias(c) for c in ORDER])
+    out = written(joined.where(first | ~again).select(*ORDER, "cid", "n", first.alias("first"), F.when(first, F.col("prefix")).alias("prefix"), *BITS), "classes")
+    dropped(docs)
+    return out
 
 
 def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: int = SIMILAR) -> DataFrame:
     """The order columns (missing, id, doc, line) of each line that goes."""
-    rank = written(ranks(df, text), "ranks")
+    hashed = written(lines_of(df, text, key).select(*ORDER, word_hashes(F.col("s")).alias("w")), "hashes")
+    rank = written(ranks(hashed), "ranks")
     # the optimizer merges the first two steps, so that rows don't carry the ranks
-    lines = lines_of(df, text, key).select(*ORDER, "s", rank.scalar().alias("rank"))
-    lines = lines.select(*ORDER, keys(line_words(F.col("s")), F.col("rank")).alias("k"))
+    lines = hashed.where(F.size("w") > 0).select(*ORDER, "w", rank.scalar().alias("rank"))
+    lines = lines.select(*ORDER, keys(F.col("w"), F.col("rank")).alias("k"))
     k, n = F.col("k"), F.size("k")
-    lines = written(lines.select(*ORDER, F.xxhash64(k).alias("sig"), n.alias("n"), F.slice(k, F.lit(1), prefix_length(n, similar).cast("int")).alias("prefix"), *parities(k)), "lines")
-    dropped(rank)
-    order = F.struct(*ORDER)
-    classes = lines.groupBy("sig", "n").agg(F.min(F.struct(order.alias("o"), F.col("prefix"), *BITS)).alias("first"))
-    # sorted by first appearance, so that a smaller cid means an earlier line
-    classes = written(classes.select("sig", "n", "first.*").orderBy("o").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    firsts = classes.select(F.col("sig").alias("s"), F.col("n").alias("m"), F.col("o").alias("first"))
-    equal = written(lines.join(firsts, (lines["sig"] == firsts["s"]) & (lines["n"] == firsts["m"])).where(order != F.col("first")).select(*ORDER), "equal")
+    prefix = F.slice(k, F.lit(1), prefix_length(n, similar).cast("int"))
+    lines = written(lines.select(*ORDER, F.monotonically_increasing_id().alias("row"), F.xxhash64(k).alias("sig"), n.alias("n"), prefix.alias("prefix"), *parities(k)), "lines")
+    dropped(hashed, rank)
+    every = classed(lines)
     dropped(lines)
-    used = [classes, equal]
+    classes, equal = every.where("first"), every.where("not first").select(*ORDER)
     # sets of under 4 words are similar only if they are equal
     least = -(-similar // (100 - similar))
-    rows = classes.where(F.col("n") >= least).select("cid", "n", *BITS, F.posexplode("prefix").alias("i", "key"))
+    entries = lambda c: c.where(F.col("n") >= least).select("cid", "n", *BITS, *(["open"] if "open" in c.columns else []), F.posexplode("prefix").alias("i", "key"))
+    short = F.col("i") < short_length(F.col("n"), similar)
     # a class that is similar to the leader of one of its words is decided; the others meet all earlier ones at the end
-    waiting = heads = rows
-    sets, near = None, []
+    used, near, sets = [every], [], None
+    waiting = heads = entries(classes).where(short)
     for last in (*[False] * ROUNDS, True):
-        met = rows if last else heads.groupBy("key").agg(*[F.min_by(c, "cid").alias(c) for c in ("cid", "n", *BITS, "i")])
+        if last:
+            decided = reduce(DataFrame.unionByName, near).withColumn("met", F.lit(True))
+            state = written(classes.select("cid", "n", *BITS, "prefix").join(decided, "cid", "left").select("cid", "n", *BITS, "prefix", F.col("met").isNull().alias("open")), "state")
+            used.append(state)
+            small, large = entries(state).where(short), entries(state)
+            order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cid") < F.col("b.cid")))
+            fits = order & F.when(F.col("a.cid") < F.col("b.cid"), F.col("b.open")).otherwise(F.col("a.open"))
+        else:
+            met = heads.groupBy("key").agg(*[F.min_by(c, "cid").alias(c) for c in ("cid", "n", *BITS, "i")])
+            small, large, fits = met, waiting, F.col("a.cid") < F.col("b.cid")
         # a share of the keys at a time, whose shuffle files go before the next share's are written
-        shares = [written(candidates(*(x.where(F.pmod("key", F.lit(SHARES)) == k) for x in (met, waiting)), similar), "pairs") for k in range(SHARES)]
+        shares = [written(candidates(*(x.where(F.pmod("key", F.lit(SHARES)) == k) for x in (small, large)), similar, fits), "pairs") for k in range(SHARES)]
         used += shares
         pairs = reduce(DataFrame.unionByName, shares).distinct()
         more = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -133,40 +176,42 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
         used.append(more)
         sets = more if sets is None else sets.unionByName(more)
         near.append(written(similar_pairs(pairs, sets, similar), "near"))
-        waiting = waiting.join(near[-1], "cid", "left_anti")
         if not last:
+            waiting = waiting.join(near[-1], "cid", "left_anti")
             # a word's next leader is the next class that isn't decided
             heads = heads.join(met.select("key", F.col("cid").alias("led")), "key").where(F.col("cid") > F.col("led")).drop("led").join(near[-1], "cid", "left_anti")
-    gone = near[0]
-    for x in near[1:]:
-        gone = gone.unionByName(x)
-    gone = written(equal.unionByName(classes.select("cid", "o.*").join(gone, "cid").select(*ORDER)), "gone")
+    gone = reduce(DataFrame.unionByName, near)
+    gone = written(equal.unionByName(classes.select("cid", *ORDER).join(gone, "cid").select(*ORDER)), "gone")
     dropped(*used, *near)
     return gone
 
 
-def candidates(earlier: DataFrame, later: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) of classes, a before b, that share a prefix key and may be similar by lengths, positions and parities."""
-    a, b = earlier.alias("a"), later.alias("b")
+def candidates(some: DataFrame, others: DataFrame, similar: int, fits: Column) -> DataFrame:
+    """Pairs (a, b) of classes, a before b, that share a prefix key, fit and may be similar by lengths, positions and parities."""
+    a, b = some.alias("a"), others.alias("b")
     need = F.ceil(similar * (F.col("a.n") + F.col("b.n")) / (100 + similar))
     differ = F.col("a.n") + F.col("b.n") - 2 * need
+    least = F.least("a.n", "b.n")
     p, q, r, s = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in BITS)
-    narrow = F.bit_count(p) + F.bit_count(q) <= differ
-    wide = F.bit_count(r) + F.bit_count(p.bitwiseXOR(r)) + F.bit_count(s) + F.bit_count(q.bitwiseXOR(s)) <= differ
+    # the parities of the keys that are in none of the named parts
+    rest = lambda *parts: reduce(Column.bitwiseXOR, parts)
+    middle = F.bit_count(q) + F.bit_count(rest(p, q)) <= differ
+    wide = F.bit_count(r) + F.bit_count(rest(p, q, r)) + F.bit_count(s) + F.bit_count(rest(q, s)) <= differ
     fits = (
         (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.cid") < F.col("b.cid"))
-        & (100 * F.least("a.n", "b.n") >= similar * F.greatest("a.n", "b.n"))
+        & fits
+        & (F.bit_count(p) <= differ)
+        & (100 * least >= similar * F.greatest("a.n", "b.n"))
         & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= need)
-        & narrow
-        & ((F.least("a.n", "b.n") < WIDE) | wide)
+        & ((least < MIDDLE) | middle)
+        & ((least < WIDE) | wide)
     )
-    return a.join(b, fits).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+    return a.join(b, fits).select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
 
 
 def word_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     """The word sets (cid, w) of the wanted classes, read from the lines where they first appear."""
-    places = written(classes.select("cid", "o.*").join(wanted, "cid"), "places")
+    places = written(classes.select("cid", *ORDER).join(wanted, "cid"), "places")
     # only documents that hold such a line are read again: a bitmap of a fixed size leaves out most others
     bits = 1 << 20
     spot = lambda c: F.pmod(F.xxhash64(F.lit(9), c), F.lit(bits)).cast("int")
@@ -178,7 +223,7 @@ def word_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, k
     found = lines_of(some, text, key)
     same = [found["id"].eqNullSafe(places["id"]), found["doc"] == places["doc"], found["line"] == places["line"]]
     lines = found.join(places, same[0] & same[1] & same[2]).select("cid", "s").dropDuplicates(["cid"])
-    sets = written(lines.select("cid", F.array_distinct(F.transform(F.array_remove(line_words(F.col("s")), ""), lambda w: F.xxhash64(w))).alias("w")), "sets")
+    sets = written(lines.select("cid", word_hashes(F.col("s")).alias("w")), "sets")
     dropped(places)
     return sets
 
