@@ -7,10 +7,10 @@ equal 64-bit hashes and numbers are one class, named in order of first appearanc
 are taken for one at a chance of about n^2 / 2^65. Two classes can only be similar if they share a key of their prefixes; pairs that
 do are kept if their lengths, the positions of that key and their parity bits (which no more positions can differ in than the
 sets differ in words: 128 bits, and 256 between sets of WIDE keys or more, as 128 say little of those) allow the similarity, and
-are verified on the lines themselves. One similar earlier line
-decides a line, so each class first meets the earliest class of each of its keys, ROUNDS times over (then the
-next one that isn't decided), and only classes that none of those decides meet all earlier classes of their keys: a group of near copies costs a few pairs for
-each member, and no decision changes.
+are verified on the lines themselves. p is the parities of all keys, q of a half of them from MIDDLE keys on. One similar earlier line
+decides a line, so each class first meets the earliest class of each key in the shorter prefixes that suffice where sets are of one
+length, and only classes that none of those decides meet all earlier classes of the keys of whole prefixes: a group of near copies
+costs a few pairs for each member, and no decision changes.
 
 Nulls: a null text has no lines and stays null; a null id comes after all others; lines without a word stay. Repeated rows
 of one id and text are one document: their lines stay or go alike. An empty table gives an empty result. Other columns pass
@@ -27,8 +27,7 @@ from .common import dropped, let, table, unused, written
 
 SIMILAR = 80
 CELLS = 18
-ROUNDS = 1
-#: A join on keys is done in so many steps, each for a share of the keys, so that less disk is used at once.
+#: The join of all is done in so many steps, each for a share of the keys, so that less disk is used at once.
 SHARES = 2
 ORDER = ("missing", "id", "doc", "line")
 BITS = ("p", "q", "r", "s")
@@ -151,44 +150,47 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", similar: in
     classes, equal = every.where("first"), every.where("not first").select(*ORDER)
     # sets of under 4 words are similar only if they are equal
     least = -(-similar // (100 - similar))
-    entries = lambda c: c.where(F.col("n") >= least).select("cid", "n", *BITS, *(["open"] if "open" in c.columns else []), F.posexplode("prefix").alias("i", "key"))
-    short = F.col("i") < short_length(F.col("n"), similar)
-    # a class that is similar to the leader of one of its words is decided; the others meet all earlier ones at the end
-    used, near, sets = [every], [], None
-    waiting = heads = entries(classes).where(short)
-    for last in (*[False] * ROUNDS, True):
-        if last:
-            decided = reduce(DataFrame.unionByName, near).withColumn("met", F.lit(True))
-            state = written(classes.select("cid", "n", *BITS, "prefix").join(decided, "cid", "left").select("cid", "n", *BITS, "prefix", F.col("met").isNull().alias("open")), "state")
-            used.append(state)
-            small, large = entries(state).where(short), entries(state)
-            order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cid") < F.col("b.cid")))
-            fits = order & F.when(F.col("a.cid") < F.col("b.cid"), F.col("b.open")).otherwise(F.col("a.open"))
-        else:
-            met = heads.groupBy("key").agg(*[F.min_by(c, "cid").alias(c) for c in ("cid", "n", *BITS, "i")])
-            small, large, fits = met, waiting, F.col("a.cid") < F.col("b.cid")
-        # a share of the keys at a time, whose shuffle files go before the next share's are written
-        shares = [written(candidates(*(x.where(F.pmod("key", F.lit(SHARES)) == k) for x in (small, large)), similar, fits), "pairs") for k in range(SHARES)]
-        used += shares
-        pairs = reduce(DataFrame.unionByName, shares).distinct()
-        more = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        more = word_sets(df, classes, more if sets is None else more.join(sets, "cid", "left_anti"), text, key)
-        used.append(more)
-        sets = more if sets is None else sets.unionByName(more)
-        near.append(written(similar_pairs(pairs, sets, similar), "near"))
-        if not last:
-            waiting = waiting.join(near[-1], "cid", "left_anti")
-            # a word's next leader is the next class that isn't decided
-            heads = heads.join(met.select("key", F.col("cid").alias("led")), "key").where(F.col("cid") > F.col("led")).drop("led").join(near[-1], "cid", "left_anti")
+
+    def entries(c: DataFrame) -> DataFrame:
+        """A row for each key of the prefixes. No column can be null, so that no filter tells the sides of a join apart and they share an exchange."""
+        rows = c.where(F.col("n") >= least).select("code", "n", *BITS, F.posexplode("prefix").alias("i", "key"))
+        return rows.select(*[F.coalesce(x, F.lit(0).cast(kind)).alias(x) for x, kind in rows.dtypes])
+
+    def paired(sides: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+        """The distinct pairs of the joins, done one after another, so that the shuffle files of one go before the next one's are written."""
+        shares = [written(candidates(*x, similar), "pairs") for x in sides]
+        used.extend(shares)
+        return reduce(DataFrame.unionByName, shares).distinct()
+
+    def similar_of(pairs: DataFrame, known: list[DataFrame]) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        for x in known:
+            wanted = wanted.join(x, "cid", "left_anti")
+        known.append(word_sets(df, classes, wanted, text, key))
+        return written(similar_pairs(pairs, reduce(DataFrame.unionByName, known), similar), "near")
+
+    used, sets = [every], []
+    # a class that is similar to the leader of one of its words is decided, the leader being the earliest class
+    rows = entries(classes.withColumn("code", F.col("cid"))).where(F.col("i") < short_length(F.col("n"), similar)).repartition("key")
+    leaders = rows.groupBy("key").agg(*[F.min_by(c, "code").alias(c) for c in ("code", "n", *BITS, "i")])
+    near = [similar_of(paired([(leaders, rows)]), sets)]
+    # the others meet all earlier classes of their keys; a decided class has a negative code
+    met = classes.join(near[0].withColumn("met", F.lit(True)), "cid", "left")
+    state = written(met.select(F.when(F.col("met"), F.bitwise_not("cid")).otherwise(F.col("cid")).alias("code"), "n", *BITS, "prefix"), "state")
+    parts = [entries(state).where(F.pmod("key", F.lit(SHARES)) == k) for k in range(SHARES)]
+    near.append(similar_of(paired([(x, x) for x in parts]), sets))
+    used += [state, *sets]
     gone = reduce(DataFrame.unionByName, near)
     gone = written(equal.unionByName(classes.select("cid", *ORDER).join(gone, "cid").select(*ORDER)), "gone")
     dropped(*used, *near)
     return gone
 
 
-def candidates(some: DataFrame, others: DataFrame, similar: int, fits: Column) -> DataFrame:
-    """Pairs (a, b) of classes, a before b, that share a prefix key, fit and may be similar by lengths, positions and parities."""
-    a, b = some.alias("a"), others.alias("b")
+def candidates(earlier: DataFrame, later: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of classes, a before b and b not decided, that share a prefix key and may be similar by lengths, positions and parities."""
+    a, b = earlier.alias("a"), later.alias("b")
+    # a code below 0 is the complement of a decided class
+    cid = F.col("a.code").bitwiseXOR(F.shiftright("a.code", 63))
     need = F.ceil(similar * (F.col("a.n") + F.col("b.n")) / (100 + similar))
     differ = F.col("a.n") + F.col("b.n") - 2 * need
     least = F.least("a.n", "b.n")
@@ -199,14 +201,14 @@ def candidates(some: DataFrame, others: DataFrame, similar: int, fits: Column) -
     wide = F.bit_count(r) + F.bit_count(rest(p, q, r)) + F.bit_count(s) + F.bit_count(rest(q, s)) <= differ
     fits = (
         (F.col("a.key") == F.col("b.key"))
-        & fits
+        & (cid < F.col("b.code"))
         & (F.bit_count(p) <= differ)
         & (100 * least >= similar * F.greatest("a.n", "b.n"))
         & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= need)
         & ((least < MIDDLE) | middle)
         & ((least < WIDE) | wide)
     )
-    return a.join(b, fits).select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b")).distinct()
+    return a.join(b, fits).select(cid.alias("a"), F.col("b.code").alias("b")).distinct()
 
 
 def word_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
