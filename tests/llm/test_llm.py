@@ -125,6 +125,39 @@ def test_line_dedup_pairs_no_unrelated_long_lines(spark, monkeypatch):
     assert sum(pairs) < 200
 
 
+def test_line_dedup_joins_share_an_exchange(spark, monkeypatch):
+    """Both sides of a join on prefix keys read one exchange, so that keys are dealt out once for each join."""
+    r = random.Random(5)
+    lines = [r.sample(range(300), 30) for _ in range(100)]
+    df = spark.createDataFrame([(i, " ".join(f"w{w}" for w in x)) for i, x in enumerate(lines + [x[1:] for x in lines])], "doc_id long, text string")
+    plans, written = [], linededup.written
+
+    def seen(d, tag):
+        if tag == "pairs":
+            d.collect()
+            plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return written(d, tag)
+
+    monkeypatch.setattr(linededup, "written", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linededup.removals(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plans[0]
+
+
+def test_line_dedup_names_classes_in_order(spark):
+    """A class has the number of its earliest line, by (missing, id, document, line), and one row of it if rows are repeated."""
+    rows = [(3, "a b\nc d"), (None, "c d\ne"), (2, "c d\n\nb a"), (2, "c d\n\nb a"), (5, "f\na b")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    lines = linededup.lines_of(df, "text", "id").withColumn("w", linededup.word_hashes(F.col("s"))).where(F.size("w") > 0)
+    k = F.sort_array("w")
+    lines = lines.select(*linededup.ORDER, F.monotonically_increasing_id().alias("row"), F.xxhash64(k).alias("sig"), F.size(k).alias("n"), k.alias("prefix"), *linededup.parities(k))
+    got = sorted(linededup.classed(linededup.written(lines, "lines")).collect(), key=lambda r: (r["cid"], not r["first"], r["missing"], r["id"] or 0, r["line"]))
+    assert [(r["id"], r["line"], r["first"]) for r in got] == [(2, 0, True), (3, 1, False), (None, 0, False), (2, 2, True), (3, 0, False), (5, 1, False), (5, 0, True), (None, 1, True)]
+
+
 def test_signature_trees(spark, docs, none):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in sigtree.link(docs).collect()}
     sets = {r[0]: shingles(r[1]) for r in ROWS if r[0] is not None}
